@@ -25,6 +25,7 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
         **CLUSTER_CONF,
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }

@@ -1,0 +1,247 @@
+"""The jobs under their question keys, with the parameters of FIXTURES.md."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from biotrace.functions.exprs import round_half_up
+from biotrace.functions.sql_functions import register_sql_functions
+from biotrace.operators import (
+    cardio,
+    demographics,
+    events,
+    glucose,
+    nutrition,
+    overview,
+    rollups,
+)
+from biotrace.schema import Tables
+from biotrace.sources.fixtures import driver_schema, fixture_tables, foodlog
+from biotrace.sources.quality import duplicate_keys, orphan_rows
+from biotrace.sources.sinks import with_rows_appended
+from biotrace.streaming.alerts import shared_folder, start_sugar_stream, sugar_alerts
+from checks.oracle import AS_OF
+
+Query = Callable[[SparkSession, str], DataFrame]
+Job = Callable[..., DataFrame]
+
+
+def comparable(df: DataFrame) -> DataFrame:
+    """The same rows in types that two engines print alike."""
+
+    def plain(field: T.StructField):
+        column = F.col(f"`{field.name}`")
+        kind = field.dataType
+        if isinstance(kind, T.DecimalType):
+            column = round_half_up(column.cast("double"), 4)
+        elif isinstance(kind, T.DoubleType):
+            column = round_half_up(column, 4)
+        elif isinstance(kind, T.IntegerType):
+            column = column.cast("bigint")
+        elif isinstance(kind, T.DateType):
+            column = column.cast("string")
+        return column.alias(field.name)
+
+    return df.select(*[plain(field) for field in df.schema.fields])
+
+
+def _aged(job: Job, **options) -> Job:
+    return lambda t: job(t, as_of=AS_OF, **options)
+
+
+def _with(job: Job, *args, **options) -> Job:
+    return lambda t: job(t, *args, **options)
+
+
+def _biomarkers(t: Tables) -> DataFrame:
+    array = F.col("biomarkers")
+    return overview.biomarkers(t).select(
+        "pid", array[0].alias("min_glucose"), array[1].alias("mean_hr"), array[2].alias("max_eda")
+    )
+
+
+def _foodlog_append(t: Tables) -> DataFrame:
+    pie = t.foodlog.sparkSession.sql("SELECT 1 AS patientid, 'pie' AS logged_food, 32 AS sugar")
+    return with_rows_appended(t.foodlog, pie)
+
+
+def _orphan_days(t: Tables) -> DataFrame:
+    """Beat rows on patient-days without EDA."""
+    child = t.ibi.withColumn("day", F.to_date("datestamp"))
+    parent = t.eda.withColumn("day", F.to_date("datestamp"))
+    return orphan_rows(child, parent, "patientid", "day").select(*child.columns)
+
+
+JOBS: dict[str, Job] = {
+    "egv_above": glucose.egv_above,
+    "protein_patients": nutrition.protein_patients,
+    "dinner_top": nutrition.dinner_top,
+    "dinner_top_hour": nutrition.dinner_top_hour,
+    "stress_days_top": cardio.stress_days_top,
+    "stress_days": cardio.stress_days,
+    "eda_day_leader": cardio.eda_day_leader,
+    "stress_profile": cardio.stress_profile,
+    "least_healthy": cardio.least_healthy,
+    "hr_out_low_hrv": cardio.hr_out_low_hrv,
+    "least_healthy_left": cardio.least_healthy_left,
+    "patient_biometrics": overview.patient_biometrics,
+    "gender_pct": demographics.gender_pct,
+    "eda_top": cardio.eda_top,
+    "prediabetic": demographics.prediabetic,
+    "eda_max_patient": _aged(cardio.eda_max_patient),
+    "eda_high_patients": _aged(cardio.eda_high_patients),
+    "name_prefix": _with(demographics.name_prefix, "S"),
+    "age_hist10": _aged(demographics.age_hist10),
+    "age_decades": _aged(demographics.age_decades),
+    "age_ranges": _aged(demographics.age_ranges),
+    "age_hist20": _aged(demographics.age_hist20),
+    "egg_word": _with(nutrition.food_with_word, "ring", "rings"),
+    "egg_only": _with(nutrition.food_named, "red ring", "cold ring"),
+    "null_glucose": glucose.null_glucose,
+    "glucose_dense_rank": glucose.glucose_dense_rank,
+    "glucose_rank": glucose.glucose_rank,
+    "glucose_rank_in_patient": glucose.glucose_rank_in_patient,
+    "hrv": cardio.hrv,
+    "calorie_split": nutrition.calorie_split,
+    "calorie_split_all": _with(nutrition.calorie_split, None),
+    "random_patients": _with(demographics.random_patients, seed=7),
+    "series": lambda t: cardio.column_series(t.demographics, "patientid"),
+    "hr_draws": cardio.hr_draws,
+    "youngest_foods": _aged(nutrition.youngest_foods),
+    "last_letter": _with(demographics.last_letter, "l"),
+    "last_letter_regex": _with(demographics.last_letter_regex, "l"),
+    "hours_out_of_range": glucose.hours_out_of_range,
+    "minutes_recorded": glucose.minutes_recorded,
+    "epoch_minutes": glucose.epoch_minutes,
+    "foods_of_patient": _with(nutrition.foods_of_patient, "Red", "Ring"),
+    "eda_without_min": cardio.eda_without_min,
+    "spinach_time": _with(nutrition.word_time, "widget"),
+    "spinach_mode": _with(nutrition.word_mode, "widget"),
+    "hrv_class": cardio.hrv_class,
+    "full_name_an": _with(demographics.full_name_matching, "in"),
+    "hba1c_by_gender": demographics.hba1c_by_gender,
+    "fiber_share": nutrition.fiber_share,
+    "corr_eda_hr": cardio.corr_eda_hr,
+    "corr_eda_hr_exact": _with(cardio.corr_eda_hr, None),
+    "out_of_range_top": glucose.out_of_range_top,
+    "min_glucose_on": _with(glucose.min_glucose_on, "2024-01-13"),
+    "hr_daily_high": cardio.hr_daily_high,
+    "hr_best_day": cardio.hr_best_day,
+    "glucose_summary": glucose.glucose_summary,
+    "glucose_daily": glucose.glucose_daily,
+    "hrv_buckets": cardio.hrv_buckets,
+    "hrv_category": cardio.hrv_category,
+    "corr_hrv_eda": cardio.corr_hrv_eda,
+    "hypo_patients": _aged(glucose.hypo_patients),
+    "hypo_severe": _aged(glucose.hypo_severe),
+    "ibi_datepart": cardio.ibi_datepart,
+    "sugar_patients": nutrition.sugar_patients,
+    "birthdays_month": _aged(demographics.birthdays_month),
+    "event_types": events.event_types,
+    "diabetic_stress": overview.diabetic_stress,
+    "diabetic_stress_hrv": _with(
+        overview.diabetic_stress, eda_above=400, hrv_below=50.530035, hr_above=1000
+    ),
+    "diabetic_stress_patients": overview.diabetic_stress_patients,
+    "food_at_reading": _with(nutrition.food_at_reading, minutes=60),
+    "food_at_reading_exact": nutrition.food_at_reading,
+    "food_at_peak": _with(nutrition.food_at_peak, minutes=60),
+    "long_names": _with(demographics.long_names, 4),
+    "title_foods": _with(nutrition.title_foods, "et"),
+    "birthday_week": overview.birthday_week,
+    "banana_breakfast": _with(nutrition.breakfast_patients, "ANVIL"),
+    "age_of": _aged(demographics.age_of, patientid=5),
+    "least_control": glucose.least_control,
+    "patient_events": events.patient_events,
+    "eda_40_50_rows": cardio.eda_between_rows,
+    "eda_40_50_max": cardio.eda_between_max,
+    "incident_counts": glucose.incident_counts,
+    "ibi_variance": cardio.ibi_variance,
+    "patient_overview": overview.patient_overview,
+    "patient_overview_daily": overview.patient_overview_daily,
+    "biomarkers": _biomarkers,
+    "lunch_calories": _with(nutrition.lunch_calories, "2024-01-24"),
+    "hours_recorded_int": glucose.hours_recorded_int,
+    "hours_span": glucose.hours_span,
+    "readings_of": _with(glucose.readings_of, 1),
+    "patient_string": _aged(glucose.patient_string),
+    "mean_age_months": _aged(demographics.mean_age_months),
+    "mean_age": _aged(demographics.mean_age),
+    "females_under": _aged(demographics.females_under),
+    "event_counts": events.event_counts,
+    "foods_egv": nutrition.foods_of_event,
+    "health_rank": overview.health_rank,
+    "sugar_alerts": lambda t: sugar_alerts(t.foodlog),
+    "prediabetic_high_hr": cardio.prediabetic_high_hr,
+    "tachy_high_glucose": overview.tachy_high_glucose,
+    "hypo_counts": glucose.hypo_counts,
+    "hypo_daily": glucose.hypo_daily,
+    "daily_calories": nutrition.daily_calories,
+    "below_range_top": glucose.below_range_top,
+    "low_hr_patients": cardio.low_hr_patients,
+    "hr_age_gender": _aged(cardio.hr_age_gender),
+    "eda_buckets": cardio.eda_buckets,
+    "eda_buckets_auto": cardio.eda_buckets_auto,
+    "exercise_hr": events.exercise_hr,
+    "hr_stddev": cardio.hr_stddev,
+    "event_id_details": _with(events.event_id_details, 4),
+    "tachycardia": cardio.tachycardia,
+    "daily_signal_rollup": lambda t: rollups.daily_signal_rollup(t.raw_signal),
+    "daily_hr_rollup": lambda t: rollups.daily_hr_rollup(t.raw_signal),
+    "ibi_runs": lambda t: rollups.ibi_runs(t.raw_signal),
+    "rmssd_daily": lambda t: rollups.rmssd_daily(t.raw_signal),
+    "foodlog_append": _foodlog_append,
+    "duplicate_keys": lambda t: duplicate_keys(t.foodlog, "patientid", "datetime"),
+    "orphan_rows": _orphan_days,
+}
+
+
+def _job_query(job: Job) -> Query:
+    return lambda spark, sf_dir: comparable(job(fixture_tables(spark, sf_dir)))
+
+
+def _sql_query(sql: str) -> Query:
+    """A statement over the registered views and functions."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fixture_tables(spark, sf_dir).register_views()
+        register_sql_functions(spark)
+        return comparable(spark.sql(sql))
+
+    return run
+
+
+def _sugar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run the meal stream to its end and return the stored warnings."""
+
+    def scan(name: str) -> DataFrame:
+        return spark.read.schema(driver_schema(name)).parquet(f"{sf_dir}/{name}.parquet")
+
+    lines = (
+        spark.readStream.schema(driver_schema("lineitem"))
+        .option("pathGlobFilter", "lineitem.parquet")
+        .parquet(sf_dir)
+    )
+    out = shared_folder(spark, "sugar-stream")
+    query = start_sugar_stream(
+        foodlog(lines, scan("orders"), scan("part")),
+        f"{out}/foodlog",
+        f"{out}/alerts",
+        f"{out}/checkpoint",
+    )
+    query.awaitTermination()
+    return comparable(spark.read.parquet(f"{out}/alerts").drop("batch"))
+
+
+QUERIES: dict[str, Query] = {
+    **{name: _job_query(job) for name, job in JOBS.items()},
+    "sugar_alerts_stream": _sugar_stream,
+    "min_glucose_on_sql": _sql_query("SELECT * FROM retrieve_min_glucose(DATE'2024-01-13')"),
+    "age_of_sql": _sql_query(
+        f"SELECT patientid, age_in_years(dob, DATE'{AS_OF}') AS age FROM demographics"
+    ),
+}
