@@ -37,20 +37,16 @@ def _stress_days(t: Tables, eda_above: float, hr_above: float, hrv_below: float)
         | (F.col("hrv") < hrv_below)
     )
     on = ["patientid", "day"]
-    return with_key_in(
-        beats.join(skin, on).join(heart, on).where(stressed), t.demographics, "patientid"
-    )
+    return beats.join(skin, on).join(heart, on).where(stressed)
 
 
 def stress_days_top(
     t: Tables, eda_above: float = 40, hr_above: float = 100, hrv_below: float = 20
 ) -> DataFrame:
     """Patient or patients with the most stress days."""
-    days = _stress_days(t, eda_above, hr_above, hrv_below)
-    return all_at_max(
-        per_patient(days.select("patientid", "day").distinct(), stress_days=F.count("*")),
-        "stress_days",
-    )
+    days = _stress_days(t, eda_above, hr_above, hrv_below).select("patientid", "day").distinct()
+    counted = per_patient(days, stress_days=F.count("*"))
+    return all_at_max(with_key_in(counted, t.demographics, "patientid"), "stress_days")
 
 
 def stress_days(
@@ -266,7 +262,7 @@ def ibi_variance(t: Tables) -> DataFrame:
 
 def corr_eda_hr(t: Tables, digits: int | None = 2) -> DataFrame:
     """Correlation of mean EDA and mean rate over all pairs of a patient's days."""
-    exact = cross_correlation(t.eda, "mean_eda", t.hr, "mean_hr")
+    exact = cross_correlation(t.eda, "mean_eda", t.hr, "mean_hr", center=(10.0, 80.0))
     value = F.col("corr") if digits is None else round_half_up("corr", digits)
     return exact.select(value.alias("correlation"))
 

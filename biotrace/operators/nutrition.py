@@ -18,6 +18,7 @@ from biotrace.functions.exprs import (
     word_match,
 )
 from biotrace.plans.keys import top_one, with_key_in
+from biotrace.plans.reuse import shareable
 from biotrace.schema import AsOf, Tables
 
 GLUCOSE = "glucose_value_mgdl"
@@ -164,10 +165,13 @@ def food_at_reading(t: Tables, minutes: int | None = None) -> DataFrame:
 
 def food_at_peak(t: Tables, minutes: int | None = None) -> DataFrame:
     """Food logged at a time when the patient's glucose was at its own highest."""
-    levels = (
-        t.dexcom.where(F.col(GLUCOSE).isNotNull())
-        .groupBy("patientid", _at("datestamp", minutes))
-        .agg(F.max(GLUCOSE).alias("level"))
+    levels = shareable(
+        t.dexcom.groupBy("patientid", _at("datestamp", minutes)).agg(
+            F.max(GLUCOSE).alias("level")
+        ),
+        "patientid",
+        "at",
+        "level",
     )
     highest = levels.groupBy("patientid").agg(F.max("level").alias("level"))
     peaks = levels.join(highest, ["patientid", "level"], "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biotrace.functions.exprs import epoch_seconds, seconds_between
-from biotrace.plans.median import group_median
+from biotrace.plans.median import group_profile
 
 _DAY = ["series", "day"]
 
@@ -25,15 +25,7 @@ def daily_signal_rollup(raw: DataFrame, width: float = 1.0) -> DataFrame:
     The median is exact. ``width`` is the size of the value buckets that locate
     it, best near the spread of a signal over a thousand.
     """
-    daily = _with_day(raw)
-    plain = daily.groupBy(*_DAY).agg(
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.avg("value").alias("mean_value"),
-    )
-    return plain.join(
-        group_median(daily, _DAY, "value", "median_value", width), _DAY, "left"
-    )
+    return group_profile(_with_day(raw), _DAY, "value", width)
 
 
 def approx_signal_rollup(raw: DataFrame, accuracy: int = 10_000) -> DataFrame:

@@ -32,40 +32,49 @@ def weighted_mean(total: Column, count: Column, weight: Column) -> Column:
     return F.sum(total * weight) / F.sum(count * weight)
 
 
-def cross_correlation(left: DataFrame, x: str, right: DataFrame, y: str) -> DataFrame:
+def cross_correlation(
+    left: DataFrame,
+    x: str,
+    right: DataFrame,
+    y: str,
+    center: tuple[float, float] = (0.0, 0.0),
+) -> DataFrame:
     """CORR(x, y) over all pairs of left and right rows of the same patient.
 
     A patient with n and m rows stands for n*m pairs. Inside a patient the two
     sides vary independently, so pairs add nothing to the covariance beyond the
-    patient means. Deviations are taken from the overall means to keep digits.
+    patient means. One pass over one row per patient is enough. ``center`` is
+    any value near the bulk of x and y; it keeps digits and changes nothing else.
     """
     means = join_patients(
         per_patient(
             left.where(F.col(x).isNotNull()),
             n=F.count(x),
-            mean_x=F.avg(x),
+            mean_x=F.avg(F.col(x) - center[0]),
             spread_x=F.var_pop(x),
         ),
         per_patient(
             right.where(F.col(y).isNotNull()),
             m=F.count(y),
-            mean_y=F.avg(y),
+            mean_y=F.avg(F.col(y) - center[1]),
             spread_y=F.var_pop(y),
         ),
-    ).withColumn("pairs", F.col("n").cast("double") * F.col("m"))
-
-    def overall(mean: str) -> Column:
-        return means.select(F.sum(F.col(mean) * F.col("pairs")) / F.sum("pairs")).scalar()
-
-    dx = F.col("mean_x") - overall("mean_x")
-    dy = F.col("mean_y") - overall("mean_y")
-    pairs = F.col("pairs")
-    return (
-        means.select(
-            (pairs * dx * dy).alias("xy"),
-            (pairs * (F.col("spread_x") + dx * dx)).alias("xx"),
-            (pairs * (F.col("spread_y") + dy * dy)).alias("yy"),
-        )
-        .agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
-        .select((F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))).alias("corr"))
+    )
+    pairs = F.col("n").cast("double") * F.col("m")
+    dx, dy = F.col("mean_x"), F.col("mean_y")
+    moments = means.agg(
+        F.sum(pairs).alias("w"),
+        F.sum(pairs * dx).alias("x"),
+        F.sum(pairs * dy).alias("y"),
+        F.sum(pairs * dx * dy).alias("xy"),
+        F.sum(pairs * (F.col("spread_x") + dx * dx)).alias("xx"),
+        F.sum(pairs * (F.col("spread_y") + dy * dy)).alias("yy"),
+    )
+
+    def about_mean(product: str, first: str, second: str) -> Column:
+        return F.col(product) - F.col(first) * F.col(second) / F.col("w")
+
+    spread = F.sqrt(about_mean("xx", "x", "x")) * F.sqrt(about_mean("yy", "y", "y"))
+    return moments.select(
+        (about_mean("xy", "x", "y") / F.nullif(spread, F.lit(0.0))).alias("corr")
     )

@@ -2,59 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def group_median(
-    df: DataFrame, keys: list[str], value: str, name: str = "median", width: float = 1.0
-) -> DataFrame:
-    """Median per group: the middle value, or the mean of the two middle values.
+def group_profile(df: DataFrame, keys: list[str], value: str, width: float = 1.0) -> DataFrame:
+    """Exact median with lowest, highest and mean value per group.
 
-    Samples first shrink to distinct values with counts. Counts per bucket of
-    ``width`` then tell which one or two buckets hold the middle of a group, and
-    only these are put in order. No task ever holds all values of a group.
+    Samples first shrink to distinct values with counts, in the only shuffle of
+    raw rows. Counts per bucket of ``width`` then tell which one or two buckets
+    hold the middle of a group, and only these are put in order. No task ever
+    holds all values of a group.
     """
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count("*").alias("copies"))
+        df.groupBy(*keys, value)
+        .agg(F.count(value).alias("copies"))
         .withColumn("bucket", F.floor(F.col(value) / width))
     )
-    by_bucket = Window.partitionBy(*keys).orderBy("bucket")
-    upto = by_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = (
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(F.asc_nulls_first("bucket")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    buckets = (
         counted.groupBy(*keys, "bucket")
-        .agg(F.sum("copies").alias("in_bucket"))
-        .withColumn("reached", F.sum("in_bucket").over(upto))
-        .withColumn("total", F.sum("in_bucket").over(Window.partitionBy(*keys)))
-        .select(
-            *keys,
-            "bucket",
-            (F.col("reached") - F.col("in_bucket")).alias("before"),
-            "reached",
-            F.floor((F.col("total") + 1) / 2).alias("lower"),
-            F.floor((F.col("total") + 2) / 2).alias("upper"),
+        .agg(
+            F.sum("copies").alias("in_bucket"),
+            F.min(value).alias("lo"),
+            F.max(value).alias("hi"),
+            F.sum(F.col(value) * F.col("copies")).alias("amount"),
         )
-        .where(
-            F.col("lower").between(F.col("before") + 1, F.col("reached"))
-            | F.col("upper").between(F.col("before") + 1, F.col("reached"))
+        .withColumn("reached", F.sum("in_bucket").over(upto))
+        .withColumn("before", F.col("reached") - F.col("in_bucket"))
+        .withColumn("total", F.sum("in_bucket").over(group))
+        .withColumn("lower", F.floor((F.col("total") + 1) / 2))
+        .withColumn("upper", F.floor((F.col("total") + 2) / 2))
+        .withColumn("min_value", F.min("lo").over(group))
+        .withColumn("max_value", F.max("hi").over(group))
+        .withColumn(
+            "mean_value", F.sum("amount").over(group) / F.nullif("total", F.lit(0))
         )
-        .drop("reached")
     )
+
+    def holds(rank: str) -> Column:
+        return F.col(rank).between(F.col("before") + 1, F.col("reached"))
+
+    summary = ["min_value", "max_value", "mean_value"]
+    middle = buckets.where(holds("lower") | holds("upper") | (F.col("total") == 0)).select(
+        *[F.col(key).alias(f"_{key}") for key in [*keys, "bucket"]],
+        "before",
+        "lower",
+        "upper",
+        *summary,
+    )
+    same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in [*keys, "bucket"]]
     inside = (
         Window.partitionBy(*keys, "bucket")
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    last = F.col("before") + F.sum("copies").over(inside)
     placed = (
-        counted.join(middle, [*keys, "bucket"])
-        .withColumn("last", last)
+        counted.join(middle, reduce(Column.__and__, same))
+        .withColumn("last", F.col("before") + F.sum("copies").over(inside))
         .withColumn("first", F.col("last") - F.col("copies") + 1)
     )
 
-    def at(rank: str):
-        return F.max(F.when(F.col(rank).between(F.col("first"), F.col("last")), F.col(value)))
+    def at(rank: str) -> Column:
+        here = F.col(rank).between(F.col("first"), F.col("last"))
+        return F.max(F.when(here, F.col(value)))
 
-    return placed.groupBy(*keys).agg(((at("lower") + at("upper")) / 2).alias(name))
+    return placed.groupBy(*keys).agg(
+        *[F.max(name).alias(name) for name in summary],
+        ((at("lower") + at("upper")) / 2).alias("median_value"),
+    )

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biotrace.plans.reuse import shareable
+
 
 def _total_before(window: Window, column: str) -> Column:
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -56,8 +58,9 @@ def value_ranks(
 
 def with_rank(df: DataFrame, measure: str, name: str, **options) -> DataFrame:
     """Add the table-wide rank of ``measure``; rows without a measure drop out."""
-    ranks = value_ranks(df, measure, **options).withColumnRenamed("value_rank", name)
-    return df.join(ranks, measure)
+    shared = shareable(df, measure)
+    ranks = value_ranks(shared, measure, **options).withColumnRenamed("value_rank", name)
+    return shared.join(ranks, measure)
 
 
 def with_row_number(
@@ -69,7 +72,7 @@ def with_row_number(
     ``order`` must be unique within a key. The window per key runs over chunk
     counts, not over rows.
     """
-    chunked = df.withColumn("chunk", chunk)
+    chunked = shareable(df.withColumn("chunk", chunk), key, "chunk")
     before_chunk = (
         chunked.groupBy(key, "chunk")
         .agg(F.count("*").alias("in_chunk"))

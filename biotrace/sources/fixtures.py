@@ -78,7 +78,9 @@ def dexcom(events: DataFrame) -> DataFrame:
 def foodlog(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
     minutes = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 131) % 43200
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    cents = F.round("l_extendedprice").cast("bigint").cast("decimal(19,0)")
+    # floor(x + 0.5) rounds amounts, which are never negative, without leaving doubles.
+    cents = F.floor(F.col("l_extendedprice") + 0.5).cast("decimal(12,0)")
+    fiber = F.floor(F.col("l_tax") * 100 + 0.5)
     return (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -89,7 +91,7 @@ def foodlog(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFram
             (cents * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY).alias("calorie"),
             F.col("l_quantity").cast(MONEY).alias("protein"),
             (51 - F.col("l_quantity")).cast(MONEY).alias("sugar"),
-            F.round(F.col("l_tax") * 100).cast(MONEY).alias("dietary_fiber"),
+            fiber.cast(MONEY).alias("dietary_fiber"),
         )
     )
 
