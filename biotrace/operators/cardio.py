@@ -359,15 +359,20 @@ def hr_draws(t: Tables, draws: int = 10, spread: float = 5.0, seed: int = 7) ->
     )
 
 
-def column_series(df: DataFrame, column: str, name: str = "n", block: int = 100_000) -> DataFrame:
+def column_series(
+    df: DataFrame, column: str, name: str = "n", block: int = 100_000, tasks: int | None = None
+) -> DataFrame:
     """Every whole number from the lowest to the highest value of a column.
 
-    The span is cut into blocks that spread over the cluster before they expand.
+    The span is cut into blocks, and the blocks spread over ``tasks`` tasks
+    before they expand. A fixed number of tasks keeps adaptive execution from
+    merging them for their small size.
     """
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
     span = df.agg(
         F.min(column).cast("bigint").alias("lo"), F.max(column).cast("bigint").alias("hi")
     ).where(F.col("lo").isNotNull())
     starts = span.select("hi", F.explode(F.sequence("lo", "hi", F.lit(block))).alias("start"))
-    return starts.repartition("start").select(
+    return starts.repartition(tasks, "start").select(
         F.explode(F.sequence("start", F.least("hi", F.col("start") + block - 1))).alias(name)
     )

@@ -217,7 +217,8 @@ def foods_of_event(t: Tables, event_subtype: str = "Estimated Glucose Value") ->
     patients = t.dexcom.select("patientid", "eventid").join(
         wanted.select(F.col("id").alias("eventid")), "eventid", "left_semi"
     )
-    return with_key_in(t.foodlog, patients, "patientid").select("logged_food").distinct()
+    eaten = t.foodlog.select("patientid", "logged_food").distinct()
+    return with_key_in(eaten, patients, "patientid").select("logged_food").distinct()
 
 
 def daily_calories(t: Tables) -> DataFrame:

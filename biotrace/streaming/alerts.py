@@ -35,7 +35,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     Only a local session may go without the setting.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", ""
+    )
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -58,14 +60,13 @@ def start_sugar_stream(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            batch.write.mode("overwrite").parquet(f"{foodlog_path}/batch={batch_id}")
-            sugar_alerts(batch, above).write.mode("overwrite").parquet(
-                f"{alerts_path}/batch={batch_id}"
-            )
-        finally:
-            batch.unpersist()
+        stored = f"{foodlog_path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(stored)
+        # The warnings read what was stored, so the batch is computed only once.
+        kept = batch.sparkSession.read.schema(batch.schema).parquet(stored)
+        sugar_alerts(kept, above).write.mode("overwrite").parquet(
+            f"{alerts_path}/batch={batch_id}"
+        )
 
     return (
         foodlog.writeStream.foreachBatch(store)
