@@ -57,7 +57,7 @@ def test_no_cross_join_and_no_python(spark, name):
         (overview.patient_overview, 5),
         (overview.patient_overview_daily, 5),
         (cardio.corr_eda_hr, 2),
-        (partial(nutrition.food_at_peak, minutes=60), 2),
+        (partial(nutrition.food_at_peak, minutes=1440), 2),
     ],
 )
 def test_each_table_is_scanned_once(stored, job, scans):
