@@ -337,13 +337,10 @@ def prediabetic_high_hr(
     )
 
 
-def _uniform(name: str, seed: int, draw: Column) -> Column:
-    """Number in (0, 1] fixed by seed, row key and draw number."""
-    text = join_text(
-        F.lit(f"{name}:{seed}:"), "patientid", F.lit(":"), "datestamp", F.lit(":"), draw
-    )
-    head = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double")
-    return (head + 1) / float(2**32)
+def _uniform(key: Column, first: int) -> Column:
+    """Number in (0, 1] from eight hex digits of a hash of the key."""
+    digits = F.conv(F.substring(F.md5(key), first, 8), 16, 10)
+    return (digits.cast("double") + 1) / float(2**32)
 
 
 def hr_draws(t: Tables, draws: int = 10, spread: float = 5.0, seed: int = 7) -> DataFrame:
@@ -351,11 +348,11 @@ def hr_draws(t: Tables, draws: int = 10, spread: float = 5.0, seed: int = 7) ->
 
     Draws are a function of the row key, so a recomputed task repeats them.
     """
-    number = F.col("draw")
-    radius = F.sqrt(-2 * F.ln(_uniform("r", seed, number)))
-    angle = F.cos(2 * F.pi() * _uniform("a", seed, number))
+    between = F.lit(":")
+    key = join_text(F.lit(f"{seed}:"), "patientid", between, "datestamp", between, "draw")
+    normal = F.sqrt(-2 * F.ln(_uniform(key, 1))) * F.cos(2 * F.pi() * _uniform(key, 9))
     return t.hr.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(
-        "draw", F.round(F.col("mean_hr") + spread * radius * angle, 1).alias("hr_dist")
+        "draw", F.round(F.col("mean_hr") + spread * normal, 1).alias("hr_dist")
     )
 
 

@@ -20,7 +20,7 @@ from biotrace.functions.exprs import (
     whole_division,
 )
 from biotrace.plans.keys import top_one, with_key_in
-from biotrace.plans.ranking import with_rank, with_row_number
+from biotrace.plans.ranking import with_ranks, with_row_number
 from biotrace.schema import AsOf, Tables
 
 GLUCOSE = "glucose_value_mgdl"
@@ -58,7 +58,7 @@ def glucose_dense_rank(t: Tables) -> DataFrame:
         .select("patientid", "max_glucose")
     )
     return (
-        with_rank(highest, "max_glucose", "maxrank", dense=True)
+        with_ranks(highest, maxrank={"measure": "max_glucose", "dense": True})
         .select("patientid", "maxrank", "max_glucose")
         .orderBy("patientid", F.desc("max_glucose"))
     )
@@ -68,7 +68,7 @@ def glucose_rank(t: Tables) -> DataFrame:
     """Rank of patients by their highest value."""
     highest = t.dexcom.groupBy("patientid").agg(F.max(GLUCOSE).alias("max_glucose"))
     return (
-        with_rank(highest, "max_glucose", "glucose_rank")
+        with_ranks(highest, glucose_rank={"measure": "max_glucose"})
         .select("patientid", "max_glucose", "glucose_rank")
         .orderBy("glucose_rank", "patientid")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from biotrace.functions.exprs import count_where, hrv_score, outside, round_half_up
 from biotrace.plans.fanout import join_patients, per_patient, weighted_mean
 from biotrace.plans.keys import with_key_in
-from biotrace.plans.ranking import with_rank
+from biotrace.plans.ranking import with_ranks
 from biotrace.schema import PATIENT_BIOMETRICS, Tables
 
 GLUCOSE = "glucose_value_mgdl"
@@ -172,9 +172,12 @@ def health_rank(t: Tables, low: float = 55, high: float = 200) -> DataFrame:
             t.dexcom, hours_out_of_range=round_half_up(count_where(outside(GLUCOSE, low, high)) / 12)
         ),
     )
-    by_hrv = with_rank(both, "hrv", "hrv_rank")
     return (
-        with_rank(by_hrv, "hours_out_of_range", "range_rank", descending=False)
+        with_ranks(
+            both,
+            hrv_rank={"measure": "hrv"},
+            range_rank={"measure": "hours_out_of_range", "descending": False},
+        )
         .withColumn("rank_sum", F.col("hrv_rank") + F.col("range_rank"))
         .select(
             "patientid", "hrv", "hours_out_of_range", "hrv_rank", "range_rank", "rank_sum"

@@ -56,11 +56,18 @@ def value_ranks(
     )
 
 
-def with_rank(df: DataFrame, measure: str, name: str, **options) -> DataFrame:
-    """Add the table-wide rank of ``measure``; rows without a measure drop out."""
-    shared = shareable(df, measure)
-    ranks = value_ranks(shared, measure, **options).withColumnRenamed("value_rank", name)
-    return shared.join(ranks, measure)
+def with_ranks(df: DataFrame, **ranks: dict) -> DataFrame:
+    """Add table-wide ranks, each ``name={"measure": column, ...}``.
+
+    Further options are those of ``value_ranks``. Rows without one of the
+    measures drop out.
+    """
+    shared = shareable(df, *[options["measure"] for options in ranks.values()])
+    ranked = shared
+    for name, options in ranks.items():
+        values = value_ranks(shared, **options).withColumnRenamed("value_rank", name)
+        ranked = ranked.join(values, options["measure"])
+    return ranked
 
 
 def with_row_number(

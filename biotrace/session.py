@@ -16,6 +16,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.shuffle.partitions": "8000",
+    # Call sites of column expressions, collected for error messages, slow down
+    # the building of a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -37,7 +37,7 @@ def comparable(df: DataFrame) -> DataFrame:
         column = F.col(f"`{field.name}`")
         kind = field.dataType
         if isinstance(kind, T.DecimalType):
-            column = round_half_up(column.cast("double"), 4)
+            column = F.round(column, 4).cast("double")
         elif isinstance(kind, T.DoubleType):
             column = round_half_up(column, 4)
         elif isinstance(kind, T.IntegerType):
