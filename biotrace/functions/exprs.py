@@ -116,10 +116,15 @@ def seconds_between(start: ColumnOrName, end: ColumnOrName) -> Column:
     return (_col(end) - _col(start)).cast("interval second").cast("decimal(20,6)")
 
 
-def epoch_seconds(ts: ColumnOrName) -> Column:
+def exact_epoch_seconds(ts: ColumnOrName) -> Column:
     """Seconds since 1970 of the wall-clock time, in any session time zone."""
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return seconds_between(origin, _col(ts).cast("timestamp_ntz")).cast("double")
+    return seconds_between(origin, _col(ts).cast("timestamp_ntz"))
+
+
+def epoch_seconds(ts: ColumnOrName) -> Column:
+    """The same as a double, for slots and other arithmetic per row."""
+    return exact_epoch_seconds(ts).cast("double")
 
 
 # --- text --------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from biotrace.functions.exprs import (
     age_months,
     age_years,
-    epoch_seconds,
+    exact_epoch_seconds,
     number_text,
     on_date,
     outside,
@@ -114,7 +114,7 @@ def minutes_recorded(t: Tables) -> DataFrame:
 def epoch_minutes(t: Tables) -> DataFrame:
     """Minutes since 1970 for every reading."""
     return t.dexcom.select(
-        "patientid", "datestamp", (epoch_seconds("datestamp") / 60).alias("epoch_minute")
+        "patientid", "datestamp", (exact_epoch_seconds("datestamp") / 60).alias("epoch_minute")
     )
 
 

@@ -18,6 +18,7 @@ from biotrace.operators import (
     nutrition,
     overview,
     rollups,
+    series,
 )
 from biotrace.schema import Tables
 from biotrace.sources.fixtures import driver_schema, fixture_tables, foodlog
@@ -109,8 +110,8 @@ JOBS: dict[str, Job] = {
     "calorie_split": nutrition.calorie_split,
     "calorie_split_all": _with(nutrition.calorie_split, None),
     "random_patients": _with(demographics.random_patients, seed=7),
-    "series": lambda t: cardio.column_series(t.demographics, "patientid"),
-    "hr_draws": cardio.hr_draws,
+    "series": lambda t: series.column_series(t.demographics, "patientid"),
+    "hr_draws": series.hr_draws,
     "youngest_foods": _aged(nutrition.youngest_foods),
     "last_letter": _with(demographics.last_letter, "l"),
     "last_letter_regex": _with(demographics.last_letter_regex, "l"),

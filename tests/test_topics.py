@@ -9,7 +9,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from biotrace.operators import cardio, demographics, events, nutrition, overview
+from biotrace.operators import cardio, demographics, events, nutrition, overview, series
 
 DAY0 = date(2024, 1, 1)
 AS_OF = "2024-02-01"
@@ -144,20 +144,21 @@ def test_column_changes_do_nothing_twice(make_tables):
 
 def test_draws_surround_the_mean_and_repeat(make_tables):
     t = make_tables(hr=[(p, DAY0, 50.0, 80.0, 90.0) for p in range(400)])
-    draws = cardio.hr_draws(t)
+    draws = series.hr_draws(t)
     assert draws.count() == 4000
     stats = draws.agg(F.avg("hr_dist"), F.stddev("hr_dist"), F.max("draw")).first()
     assert stats[0] == pytest.approx(80, abs=0.4)
     assert stats[1] == pytest.approx(5, abs=0.3)
     assert stats[2] == 10
-    assert rows_of(draws) == rows_of(cardio.hr_draws(t))
+    assert rows_of(draws) == rows_of(series.hr_draws(t))
 
 
 def test_series_spans_blocks(spark):
     df = spark.createDataFrame([(3,), (250,)], "k int")
-    got = cardio.column_series(df, "k", block=100).orderBy("n").collect()
+    got = series.column_series(df, "k", block=100).orderBy("n").collect()
     assert [r.n for r in got] == list(range(3, 251))
-    assert cardio.column_series(df.limit(0), "k").count() == 0
+    assert series.column_series(df.limit(0), "k").count() == 0
+    assert [r.n for r in series.integer_series(spark).collect()] == list(range(1, 16))
 
 
 def test_dinner_and_lunch_bounds(make_tables):
