@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from biotrace.functions.exprs import (
     age_months,
     age_years,
+    epoch_seconds,
     exact_epoch_seconds,
     number_text,
     on_date,
@@ -128,14 +129,18 @@ def min_glucose_on(t: Tables, day: str | date) -> DataFrame:
     )
 
 
-def glucose_summary(t: Tables) -> DataFrame:
-    """Mean value per reading time and a running ``DayN`` label per patient."""
+def glucose_summary(t: Tables, chunk_seconds: int = 3600) -> DataFrame:
+    """Mean value per reading time and a running ``DayN`` label per patient.
+
+    A patient is numbered hour by hour, 12 readings at a time at the usual rate.
+    """
     per_time = (
         t.dexcom.where(F.col("datestamp").isNotNull())
         .groupBy("patientid", F.col("datestamp").alias("date"))
         .agg(F.avg(GLUCOSE).alias("avg_glucose"))
     )
-    return with_row_number(per_time, "patientid", "date", F.to_date("date"), "n").select(
+    chunk = F.floor(epoch_seconds("date") / chunk_seconds)
+    return with_row_number(per_time, "patientid", "date", chunk, "n").select(
         "patientid",
         "date",
         "avg_glucose",

@@ -75,7 +75,7 @@ def with_row_number(
 ) -> DataFrame:
     """Row number within ``key`` by ``order``, one chunk of the order at a time.
 
-    ``chunk`` must not decrease as ``order`` grows (the day of a timestamp) and
+    ``chunk`` must not decrease as ``order`` grows (the hour of a timestamp) and
     ``order`` must be unique within a key. The window per key runs over chunk
     counts, not over rows.
     """

@@ -73,8 +73,9 @@ def test_one_hot_patient_gets_the_same_numbers(make_tables):
     """A patient with nearly all rows is numbered and ranked like any other."""
     hot = [reading(1, 40 + (i * 37 % 300) / 4, 5 * i) for i in range(3000)]
     t = make_tables(dexcom=hot + [reading(2, 90.0)])
-    labels = [r.patient_day for r in glucose.glucose_summary(t).orderBy("patientid", "date").collect()]
-    assert labels == [f"Day{i}" for i in range(1, 3001)] + ["Day1"]
+    for seconds in (1, 3600, 10**7):
+        rows = glucose.glucose_summary(t, seconds).orderBy("patientid", "date").collect()
+        assert [r.patient_day for r in rows] == [f"Day{i}" for i in range(1, 3001)] + ["Day1"]
 
 
 def test_null_glucose_and_hypo_are_one_row_per_patient(make_tables):
