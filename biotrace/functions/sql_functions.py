@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 # Ages follow functions.exprs.age_months: full months between two dates.
 _AGE_YEARS = """
-CREATE OR REPLACE TEMPORARY FUNCTION age_in_years(dob DATE, as_of DATE DEFAULT current_date()) RETURNS INT
+CREATE OR REPLACE TEMPORARY FUNCTION
+age_in_years(dob DATE, as_of DATE DEFAULT current_date()) RETURNS INT
 RETURN CAST((
     (year(as_of) - year(dob)) * 12 + month(as_of) - month(dob)
     - CASE WHEN day(as_of) < day(dob) THEN 1 ELSE 0 END
@@ -14,7 +15,8 @@ RETURN CAST((
 """
 
 _RETRIEVE_AGE = """
-CREATE OR REPLACE TEMPORARY FUNCTION retrieve_age(pat_id BIGINT, as_of DATE DEFAULT current_date()) RETURNS INT
+CREATE OR REPLACE TEMPORARY FUNCTION
+retrieve_age(pat_id BIGINT, as_of DATE DEFAULT current_date()) RETURNS INT
 RETURN age_in_years((SELECT max(dob) FROM demographics WHERE patientid = pat_id), as_of)
 """
 

@@ -223,6 +223,7 @@ def hrv(t: Tables) -> DataFrame:
 
 
 def hrv_class(t: Tables, low: float = 20, high: float = 50) -> DataFrame:
+    # Names of the classes.
     label = (
         F.when(F.col("hrv") < low, "Low HRV")
         .when(F.col("hrv") > high, "High HRV")

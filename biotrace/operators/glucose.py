@@ -20,7 +20,7 @@ from biotrace.functions.exprs import (
     sum_flag,
     whole_division,
 )
-from biotrace.plans.keys import top_one, with_key_in
+from biotrace.plans.keys import ordered_by, top_one, with_key_in
 from biotrace.plans.ranking import with_ranks, with_row_number
 from biotrace.schema import AsOf, Tables
 
@@ -51,17 +51,19 @@ def null_glucose(t: Tables) -> DataFrame:
     return with_key_in(t.demographics, missing, "patientid").select("patientid", "gender", "hba1c")
 
 
-def glucose_dense_rank(t: Tables) -> DataFrame:
+def glucose_dense_rank(t: Tables, ordered: bool = True) -> DataFrame:
     """Dense rank of each patient's highest value per day of the month."""
     highest = (
         t.dexcom.groupBy("patientid", F.dayofmonth("datestamp").alias("day"))
         .agg(F.max(GLUCOSE).alias("max_glucose"))
         .select("patientid", "max_glucose")
     )
-    return (
-        with_ranks(highest, maxrank={"measure": "max_glucose", "dense": True})
-        .select("patientid", "maxrank", "max_glucose")
-        .orderBy("patientid", F.desc("max_glucose"))
+    ranked = with_ranks(highest, maxrank={"measure": "max_glucose", "dense": True})
+    return ordered_by(
+        ranked.select("patientid", "maxrank", "max_glucose"),
+        ordered,
+        "patientid",
+        F.desc("max_glucose"),
     )
 
 
@@ -75,18 +77,17 @@ def glucose_rank(t: Tables) -> DataFrame:
     )
 
 
-def glucose_rank_in_patient(t: Tables) -> DataFrame:
+def glucose_rank_in_patient(t: Tables, ordered: bool = True) -> DataFrame:
     """Dense rank of each patient's days by the day's highest value."""
     # One row per patient-day is left when the window sorts a patient.
     daily = t.dexcom.groupBy("patientid", F.to_date("datestamp").alias("day")).agg(
         F.max(GLUCOSE).alias("max_glucose")
     )
     within = Window.partitionBy("patientid").orderBy(F.desc("max_glucose"))
-    return (
-        daily.where(F.col("max_glucose").isNotNull())
-        .withColumn("rnk", F.dense_rank().over(within))
-        .orderBy("patientid", "rnk", "day")
+    ranked = daily.where(F.col("max_glucose").isNotNull()).withColumn(
+        "rnk", F.dense_rank().over(within)
     )
+    return ordered_by(ranked, ordered, "patientid", "rnk", "day")
 
 
 def _out_of_range(t: Tables, low: float, high: float) -> DataFrame:
@@ -148,18 +149,19 @@ def glucose_summary(t: Tables, chunk_seconds: int = 3600) -> DataFrame:
     )
 
 
-def glucose_daily(t: Tables) -> DataFrame:
+def glucose_daily(t: Tables, ordered: bool = True) -> DataFrame:
     """Mean value per day and the number of the day since the patient's first."""
     daily = t.dexcom.groupBy("patientid", F.to_date("datestamp").alias("day")).agg(
         round_half_up(F.avg(GLUCOSE)).alias("avg_glucose")
     )
     first = F.min("day").over(Window.partitionBy("patientid"))
-    return daily.select(
+    numbered = daily.select(
         "day",
         "patientid",
         "avg_glucose",
         (F.datediff("day", first) + 1).alias("patient_day"),
-    ).orderBy("patientid", "patient_day")
+    )
+    return ordered_by(numbered, ordered, "patientid", "patient_day")
 
 
 def hypo_patients(t: Tables, below: float = 70, as_of: AsOf = None) -> DataFrame:
@@ -214,13 +216,12 @@ def hypo_counts(t: Tables, at_most: float = 70) -> DataFrame:
     )
 
 
-def hypo_daily(t: Tables, below: float = 55) -> DataFrame:
+def hypo_daily(t: Tables, below: float = 55, ordered: bool = True) -> DataFrame:
     """Values below a level per patient and day; days without one count 0."""
-    return (
-        t.dexcom.groupBy("patientid", F.to_date("datestamp").alias("day"))
-        .agg(sum_flag(F.col(GLUCOSE) < below).alias("hypoglycemic_incidents"))
-        .orderBy("patientid", "day")
+    counted = t.dexcom.groupBy("patientid", F.to_date("datestamp").alias("day")).agg(
+        sum_flag(F.col(GLUCOSE) < below).alias("hypoglycemic_incidents")
     )
+    return ordered_by(counted, ordered, "patientid", "day")
 
 
 def hours_recorded_int(t: Tables) -> DataFrame:

@@ -17,7 +17,7 @@ from biotrace.functions.exprs import (
     title_case,
     word_match,
 )
-from biotrace.plans.keys import top_one, with_key_in
+from biotrace.plans.keys import ordered_by, top_one, with_key_in
 from biotrace.plans.reuse import shareable
 from biotrace.schema import AsOf, Tables
 
@@ -221,9 +221,8 @@ def foods_of_event(t: Tables, event_subtype: str = "Estimated Glucose Value") ->
     return with_key_in(eaten, patients, "patientid").select("logged_food").distinct()
 
 
-def daily_calories(t: Tables) -> DataFrame:
-    return (
-        t.foodlog.groupBy("patientid", F.to_date("datetime").alias("date"))
-        .agg(F.sum("calorie").alias("total_calories"))
-        .orderBy("patientid", "date")
+def daily_calories(t: Tables, ordered: bool = True) -> DataFrame:
+    totals = t.foodlog.groupBy("patientid", F.to_date("datetime").alias("date")).agg(
+        F.sum("calorie").alias("total_calories")
     )
+    return ordered_by(totals, ordered, "patientid", "date")

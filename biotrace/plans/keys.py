@@ -31,3 +31,8 @@ def top_one(df: DataFrame, measure: str, *then: str | Column) -> DataFrame:
 def all_at_max(df: DataFrame, measure: str) -> DataFrame:
     """Every row that reaches the highest measure."""
     return df.where(F.col(measure) == df.select(F.max(measure)).scalar())
+
+
+def ordered_by(df: DataFrame, ordered: bool, *order: str | Column) -> DataFrame:
+    """Sort a report; callers that store or aggregate it can spare the range shuffle."""
+    return df.orderBy(*order) if ordered else df

@@ -105,3 +105,9 @@ def test_top_one_does_not_sort_everything(stored):
     plan = plan_of(glucose.out_of_range_top(stored[0]))
     assert "TakeOrderedAndProject" in plan
     assert "rangepartitioning" not in plan
+
+
+def test_storing_a_daily_report_needs_no_sort(stored):
+    assert "rangepartitioning" in plan_of(nutrition.daily_calories(stored[0]))
+    plan = plan_of(nutrition.daily_calories(stored[0], ordered=False))
+    assert len(re.findall("Exchange", plan)) == 1
