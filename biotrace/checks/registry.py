@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from biotrace.checks.oracle import AS_OF
 from biotrace.functions.exprs import round_half_up
 from biotrace.functions.sql_functions import register_sql_functions
 from biotrace.operators import (
@@ -25,7 +26,6 @@ from biotrace.sources.fixtures import driver_schema, fixture_tables, foodlog
 from biotrace.sources.quality import duplicate_keys, orphan_rows
 from biotrace.sources.sinks import with_rows_appended
 from biotrace.streaming.alerts import shared_folder, start_sugar_stream, sugar_alerts
-from checks.oracle import AS_OF
 
 Query = Callable[[SparkSession, str], DataFrame]
 Job = Callable[..., DataFrame]

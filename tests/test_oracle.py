@@ -6,7 +6,7 @@ import pytest
 from conftest import TESTDATA
 
 from __spark_entry__ import entry, oracle_sql, queries
-from checks.compare import connect, difference
+from biotrace.checks.compare import connect, difference
 
 SF_DIR = f"{TESTDATA}/sf0.001"
 

@@ -8,10 +8,10 @@ from functools import partial
 import pytest
 from conftest import TESTDATA
 
+from biotrace.checks.registry import QUERIES
 from biotrace.operators import cardio, glucose, nutrition, overview, rollups
 from biotrace.sources.fixtures import fixture_tables
 from biotrace.sources.sinks import write_table
-from checks.registry import QUERIES
 
 SF_DIR = f"{TESTDATA}/sf0.001"
 EAGER = {"sugar_alerts_stream"}
