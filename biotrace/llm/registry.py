@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from biotrace.llm.common import ship_package
 from biotrace.llm.minhash_bbit import near_duplicates
+from biotrace.llm.nnls_packing import pack
+from biotrace.llm.token_shards import materialized_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +22,18 @@ def op4_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized_order(_table(spark, sf_dir, "documents"))
+
+
+def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_bbit": op4_minhash_bbit,
+    "op8_token_shards": op8_token_shards,
+    "op10_nnls_packing": op10_nnls_packing,
 }
 
 SQL: dict[str, str] = {}
