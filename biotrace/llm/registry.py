@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from biotrace.llm.common import ship_package
 from biotrace.llm.minhash_bbit import near_duplicates
 from biotrace.llm.nnls_packing import pack
+from biotrace.llm.pii import personal_data_report
 from biotrace.llm.token_shards import materialized_order
 
 
@@ -22,6 +23,10 @@ def op4_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized_order(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_bbit": op4_minhash_bbit,
+    "op5_personal_data": op5_personal_data,
     "op8_token_shards": op8_token_shards,
     "op10_nnls_packing": op10_nnls_packing,
 }
