@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from biotrace.llm.common import ship_package
+from biotrace.llm.crf_langid import identify, is_held_out, train
+from biotrace.llm.decontaminate import find_contamination
 from biotrace.llm.minhash_bbit import near_duplicates
 from biotrace.llm.nnls_packing import pack
 from biotrace.llm.pii import personal_data_report
@@ -27,10 +30,21 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return find_contamination(docs, items)
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized_order(_table(spark, sf_dir, "documents"))
 
 
+def op9_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs))
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +52,9 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_bbit": op4_minhash_bbit,
     "op5_personal_data": op5_personal_data,
+    "op7_decontamination": op7_decontamination,
     "op8_token_shards": op8_token_shards,
+    "op9_crf_langid": op9_crf_langid,
     "op10_nnls_packing": op10_nnls_packing,
 }
 
