@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from biotrace.llm.common import ship_package
 from biotrace.llm.crf_langid import identify, is_held_out, train
 from biotrace.llm.decontaminate import find_contamination
+from biotrace.llm.html_extract import extract_pages
 from biotrace.llm.minhash_bbit import near_duplicates
+from biotrace.llm.multi_index import near_vectors
 from biotrace.llm.nnls_packing import pack
 from biotrace.llm.pii import personal_data_report
 from biotrace.llm.token_shards import materialized_order
@@ -21,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100)
     return found.withColumnRenamed("id", "doc_id")
@@ -30,6 +37,11 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     return find_contamination(docs, items)
@@ -50,8 +62,10 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extract": op2_html_extract,
     "op4_minhash_bbit": op4_minhash_bbit,
     "op5_personal_data": op5_personal_data,
+    "op6_multi_index": op6_multi_index,
     "op7_decontamination": op7_decontamination,
     "op8_token_shards": op8_token_shards,
     "op9_crf_langid": op9_crf_langid,
