@@ -3,11 +3,11 @@
 Unit vectors are cut into two halves, and each half gets its own codebook (k-means on a
 bounded sample). A vector lies in the cell of the two nearest centroids; the cells form a
 product grid. A query visits cells in the order of a lower bound of their distance
-(multi-sequence traversal over the two sorted codebooks) and stops when the bound passes
-the distance that the least similarity allows. Two vectors of cosine c are at the squared
-distance 2 - 2c, and a half cannot be nearer to another centroid's region than to the plane
-between the centroids, so the traversal misses no pair: target recall is 1, whatever the
-sample. Pairs found are verified by cosine in double precision.
+(multi-sequence traversal over the two sorted codebooks) until the bound that gives the
+target recall for the hardest pairs: the sample is turned by exactly the angle of the
+least similarity, in random directions, and the bound must reach the cell of all but a
+share of 1 - RECALL of them. More similar pairs lie in nearer cells. Pairs found are
+verified by cosine in double precision.
 
 Equal vectors take part once and are counted. A cell is cut into bounded blocks, and the
 visitors of a block are compared with it in bounded batches.
@@ -34,8 +34,9 @@ ROUNDS = 12
 # Vectors of a cell in one block, and visitors compared with it at a time.
 BLOCK = 2_048
 BATCH = 2_048
-# Slack of the bound for rounding.
-EPSILON = 1e-6
+# Share of pairs at the least similarity that a query finds, and turns of a sampled vector.
+RECALL = 0.999
+TURNS = 8
 
 
 def kmeans(points: np.ndarray, k: int) -> np.ndarray:
@@ -88,6 +89,21 @@ def traverse(first: np.ndarray, second: np.ndarray, limit: float) -> list[tuple[
     return out
 
 
+def reach(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float) -> float:
+    """The bound up to which a query visits cells, for the target recall."""
+    random = np.random.Generator(np.random.PCG64(60))
+    points = np.repeat(points[: max(1, SAMPLE // 4)], TURNS, axis=0)
+    turn = random.normal(size=points.shape)
+    turn -= (turn * points).sum(axis=1, keepdims=True) * points
+    size = np.sqrt((turn**2).sum(axis=1, keepdims=True))
+    turned = least * points + np.sqrt(max(0.0, 1 - least**2)) * turn / np.where(size > 0, size, 1)
+    half, needed = books[0].shape[1], np.zeros(len(points))
+    for book, side in zip(books, (slice(0, half), slice(half, None)), strict=True):
+        cells = nearest(turned[:, side], book)
+        needed += bounds(points[:, side], book)[np.arange(len(points)), cells]
+    return float(np.quantile(needed, RECALL, method="higher"))
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.frombuffer(v, np.float64) for v in column.to_pylist()])
 
@@ -99,7 +115,8 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value in batch.column(1).to_pylist():
             vector = None
             if value and None not in value:
-                raw = np.array(value, np.float64)
+                # A single component gets a second one, so that there are two halves.
+                raw = np.array(value if len(value) > 1 else [*value, 0.0], np.float64)
                 # Scaled first, so that squares of very large or small values stay finite.
                 top = np.abs(raw).max()
                 if np.isfinite(raw).all() and top > 0:
@@ -129,9 +146,8 @@ def _visit(
                 home.append(a == own[0][i] and b == own[1][i])
         rows = pa.array(take, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows),
-             pa.array(cells, pa.int64()), pa.array(home, pa.bool_())],
-            ["rep", "unit", "copies", "cell", "home"],
+            [batch.column(0).take(rows), pa.array(cells, pa.int64()), pa.array(home, pa.bool_())],
+            ["rep", "cell", "home"],
         )
 
 
@@ -189,14 +205,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table
     return grouped(batches, ["cell", "block", "lot"])
 
 
-def _books(reps: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Codebooks of both halves from at most SAMPLE vectors, taken by a hash of the vector."""
+def _sample(reps: DataFrame) -> np.ndarray:
+    """At most SAMPLE vectors, taken by a hash of the vector."""
     rows = reps.orderBy(F.xxhash64("unit"), "rep").select("unit").limit(SAMPLE).collect()
-    if not rows:
-        return None
-    points = np.stack([np.frombuffer(r["unit"], np.float64) for r in rows])
-    half = max(1, points.shape[1] // 2)
-    return tuple(kmeans(p, CENTROIDS) for p in (points[:, :half], points[:, half:]))
+    return np.stack([np.frombuffer(r["unit"], np.float64) for r in rows])
 
 
 def near_vectors(
@@ -247,12 +259,12 @@ def near_vectors(
 
 
 def _linked(reps: DataFrame, least: float) -> DataFrame:
-    books = _books(reps)
-    limit = 2 - 2 * least + EPSILON
-    width = books[0].shape[1] + books[1].shape[1] if books and len(books[1]) else 0
-    visit = partial(_visit, books=books, limit=limit) if width else None
-    row = "rep long, unit binary, copies long, cell long, home boolean"
-    visits = materialize(reps.select("rep", "unit", "copies").mapInArrow(visit, row), "visits")
+    points = _sample(reps)
+    half = points.shape[1] // 2
+    books = tuple(kmeans(p, CENTROIDS) for p in (points[:, :half], points[:, half:]))
+    visit = partial(_visit, books=books, limit=reach(points, books, least))
+    row = "rep long, cell long, home boolean"
+    visits = materialize(reps.select("rep", "unit").mapInArrow(visit, row), "visits")
     cells = visits.groupBy("cell").agg(
         F.ceil(F.count(F.when(F.col("home"), 1)) / BLOCK).cast("int").alias("blocks"),
         F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("lots"),
@@ -267,8 +279,6 @@ def _linked(reps: DataFrame, least: float) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"),
         F.lit(0).alias("side"),
         "rep",
-        "unit",
-        "copies",
     )
     visitors = placed.select(
         "cell",
@@ -276,9 +286,8 @@ def _linked(reps: DataFrame, least: float) -> DataFrame:
         lot.alias("lot"),
         F.lit(1).alias("side"),
         "rep",
-        "unit",
-        "copies",
     )
     keys = ["cell", "block", "lot"]
-    dealt = owners.unionAll(visitors).repartition(*keys).sortWithinPartitions(*keys, "side", "rep")
+    full = owners.unionAll(visitors).join(reps, "rep")
+    dealt = full.repartition(*keys).sortWithinPartitions(*keys, "side", "rep")
     return dealt.mapInArrow(partial(_compare, least=least), "rep long, links long, first long")
