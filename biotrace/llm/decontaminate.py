@@ -158,6 +158,8 @@ def _matches(docs: DataFrame, items: DataFrame, span: int, num: int, den: int) -
         "windows",
     )
     places = windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("places"))
+    if windows.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
     placed = docs.join(places, "doc_id").dropDuplicates(["doc_id"])
     placed = placed.select("doc_id", "places", runs_of(words_of(F.col("text")), span).alias("runs"))
     cut = placed.select(
