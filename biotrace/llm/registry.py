@@ -15,6 +15,7 @@ from biotrace.llm.minhash_bbit import near_duplicates
 from biotrace.llm.multi_index import near_vectors
 from biotrace.llm.nnls_packing import pack
 from biotrace.llm.pii import personal_data_report
+from biotrace.llm.suffix_dedup import remove_repeats
 from biotrace.llm.token_shards import materialized_order
 
 
@@ -23,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_pages(_table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -62,6 +67,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extract": op2_html_extract,
     "op4_minhash_bbit": op4_minhash_bbit,
     "op5_personal_data": op5_personal_data,
