@@ -15,6 +15,7 @@ from biotrace.llm.minhash_bbit import near_duplicates
 from biotrace.llm.multi_index import near_vectors
 from biotrace.llm.nnls_packing import pack
 from biotrace.llm.pii import personal_data_report
+from biotrace.llm.quote_threads import reply_threads
 from biotrace.llm.suffix_dedup import remove_repeats
 from biotrace.llm.token_shards import materialized_order
 
@@ -33,6 +34,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_threads(_table(spark, sf_dir, "conversations"))
+
+
 def op4_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100)
     return found.withColumnRenamed("id", "doc_id")
@@ -69,6 +74,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extract": op2_html_extract,
+    "op3_quote_threads": op3_quote_threads,
     "op4_minhash_bbit": op4_minhash_bbit,
     "op5_personal_data": op5_personal_data,
     "op6_multi_index": op6_multi_index,
