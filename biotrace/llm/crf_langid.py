@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PER_LANGUAGE = 150
 MAX_CHARS = 8_000
@@ -168,7 +169,10 @@ def fit(texts: list[str], langs: list[str]) -> Field | None:
     return Field(labels, params[0].astype(np.float32), params[1].astype(np.float32))
 
 
-def _label(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+def _label(
+    batches: Iterator[pa.RecordBatch], field: Field, at: int, keep: list[int]
+) -> Iterator[pa.RecordBatch]:
+    """Kept columns with the label and score of the text in column `at`."""
     known: dict[str, int] = {}
     rows: list[np.ndarray] = []
 
@@ -193,13 +197,13 @@ def _label(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Recor
     for batch in batches:
         means: list[np.ndarray | None] = [None] * batch.num_rows
         held, places, count = [], [], 0
-        for at in range(batch.num_rows + 1):
-            words = words_of(batch.column(1)[at].as_py()) if at < batch.num_rows else []
+        for row in range(batch.num_rows + 1):
+            words = words_of(batch.column(at)[row].as_py()) if row < batch.num_rows else []
             if words:
                 held.append(ids_of(words))
-                places.append(at)
+                places.append(row)
                 count += len(words)
-            if held and (count >= AT_ONCE or at == batch.num_rows):
+            if held and (count >= AT_ONCE or row == batch.num_rows):
                 for place, mean in zip(places, posterior_means(held), strict=True):
                     means[place] = mean
                 held, places, count = [], [], 0
@@ -209,8 +213,8 @@ def _label(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Recor
         best = [UNKNOWN if m is None else field.labels[int(m.argmax())] for m in means]
         score = [0.0 if m is None else min(1.0, float(m.max())) for m in means]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())],
-            ["doc_id", "lang_pred", "score"],
+            [*[batch.column(i) for i in keep], pa.array(best, pa.string()), pa.array(score, pa.float64())],
+            [*[batch.schema.names[i] for i in keep], "lang_pred", "score"],
         )
 
 
@@ -250,7 +254,32 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
     )
     if field is None:
         return texts.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return texts.mapInArrow(partial(_label, field=field), _LABELLED)
+    return texts.mapInArrow(partial(_label, field=field, at=1, keep=[0]), _LABELLED)
+
+
+def keep_known(
+    docs: DataFrame, field: Field | None, least: float = 0.5, text_col: str = "text"
+) -> DataFrame:
+    """docs whose text has letters and whose language scores at least `least`.
+
+    Without a field every text with a letter stays. Columns stay as they are, whatever
+    their names and types; the rows are labelled where they stand, without a shuffle.
+    """
+    lettered = docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    if field is None:
+        return lettered
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    schema = T.StructType(
+        [
+            *[T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)],
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    mark = partial(_label, field=field, at=docs.columns.index(text_col), keep=list(range(len(names))))
+    marked = lettered.toDF(*names).mapInArrow(mark, schema)
+    known = marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return known.select(*names).toDF(*docs.columns)
 
 
 def label_words(text: str, field: Field) -> list[tuple[str, str, float]]:
