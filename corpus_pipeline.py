@@ -8,19 +8,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotrace.llm.common import materialize, ship_package
+from biotrace.llm.crf_langid import keep_known, train
+from biotrace.llm.decontaminate import decontaminate
 from biotrace.llm.minhash_bbit import near_duplicates
+from biotrace.llm.nnls_packing import pack
+from biotrace.llm.pii import mask
+
+# Documents of a language with a lower mean posterior go.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters, of a language that the labels teach."""
+    ship_package(spark)
+    return keep_known(docs, train(docs), LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     ship_package(spark)
     dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    masked = mask(docs)
+    if "n_chars" not in docs.columns:
+        return masked
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return masked.withColumn("n_chars", length).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids and their places in sequences."""
+    ship_package(spark)
+    return pack(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
 # Trained labels, sketches and token ids are outside SQL; tests compare with plain versions.
 ORACLE_SQL = None
