@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from biotrace.functions.exprs import whole_division
 from biotrace.schema import INT, LONG, MONEY, REAL, TEXT, TIME, Tables, struct
 
 # Only the columns the adapter reads; a given schema also spares the footer job.
 _DRIVER_SCHEMAS = {
     "customer": struct(c_custkey=LONG),
     "part": struct(p_partkey=LONG, p_name=TEXT),
-    "orders": struct(o_orderkey=LONG, o_custkey=LONG),
+    "orders": struct(o_orderkey=LONG, o_custkey=LONG, o_totalprice=REAL),
     "lineitem": struct(
         l_orderkey=LONG,
         l_partkey=LONG,
@@ -24,7 +25,7 @@ _DRIVER_SCHEMAS = {
     "events": struct(event_id=LONG, ts=TIME, user_id=LONG, event_type=TEXT, value=REAL),
 }
 
-# The event dimension of FIXTURES.md.
+# The event dimension of FIXTURES.md. Type 6 has no readings.
 EVENT_TYPES = [
     (1, "EGV", "Estimated Glucose Value"),
     (2, "Exercise", "Walk"),
@@ -33,6 +34,7 @@ EVENT_TYPES = [
     (5, "Alert", "Low"),
     (6, "Carbs", "Snack"),
 ]
+UNUSED_EVENT = 6
 
 
 def driver_schema(name: str) -> T.StructType:
@@ -44,7 +46,7 @@ def demographics(customer: DataFrame, part: DataFrame) -> DataFrame:
 
     def word(n: int) -> Column:
         text = F.split_part("p_name", F.lit(" "), F.lit(n))
-        return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1000))
+        return F.concat(F.upper(F.left(text, F.lit(1))), F.substr(text, F.lit(2)))
 
     return customer.join(part, F.col("p_partkey") == key).select(
         key.alias("patientid"),
@@ -56,19 +58,29 @@ def demographics(customer: DataFrame, part: DataFrame) -> DataFrame:
     )
 
 
-def eventtype(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(str(row) for row in EVENT_TYPES)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, event_type, event_subtype)")
+def _event_code() -> Column:
+    code = F.lit(5)
+    for number, name in [(4, "signup"), (3, "purchase"), (2, "click"), (1, "view")]:
+        code = F.when(F.col("event_type") == name, number).otherwise(code)
+    return code
+
+
+def eventtype(events: DataFrame) -> DataFrame:
+    """The types that occur, and one without readings."""
+    names = ", ".join(str(row) for row in EVENT_TYPES)
+    names = events.sparkSession.sql(
+        f"SELECT * FROM VALUES {names} AS t(id, event_type, event_subtype)"
+    )
+    used = events.select(_event_code().alias("used")).distinct()
+    known = names.join(used, F.col("id") == F.col("used"), "left")
+    return known.where(F.col("used").isNotNull() | (F.col("id") == UNUSED_EVENT)).drop("used")
 
 
 def dexcom(events: DataFrame) -> DataFrame:
-    eventid = F.lit(5)
-    for code, name in [(4, "signup"), (3, "purchase"), (2, "click"), (1, "view")]:
-        eventid = F.when(F.col("event_type") == name, code).otherwise(eventid)
     return events.select(
         F.col("user_id").alias("patientid"),
         F.col("ts").alias("datestamp"),
-        eventid.alias("eventid"),
+        _event_code().alias("eventid"),
         F.when(F.col("event_id") % 97 != 0, F.round(F.col("value") + 40, 2)).alias(
             "glucose_value_mgdl"
         ),
@@ -96,21 +108,19 @@ def foodlog(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFram
     )
 
 
-def _daily(events: DataFrame, keep: Column, **measures: Column) -> DataFrame:
+def eda(orders: DataFrame) -> DataFrame:
+    """Every order is a sample: ten customers are one patient, and a day lies in January 2024."""
+    start = F.lit("2024-01-01").cast("date")
     return (
-        events.where(keep)
-        .groupBy(F.col("user_id").alias("patientid"), F.to_date("ts").alias("datestamp"))
-        .agg(*[column.alias(name) for name, column in measures.items()])
-    )
-
-
-def eda(events: DataFrame) -> DataFrame:
-    return _daily(
-        events,
-        F.col("event_id") % 5 != 0,
-        min_eda=F.min("value") / 4,
-        mean_eda=F.round(F.avg("value") / 4, 6),
-        max_eda=F.max("value") / 4,
+        orders.groupBy(
+            whole_division("o_custkey", 10).alias("patientid"),
+            F.date_add(start, (F.col("o_orderkey") % 30).cast("int")).alias("datestamp"),
+        )
+        .agg(
+            (F.min("o_totalprice") / 8000).alias("min_eda"),
+            F.round(F.avg("o_totalprice") / 8000, 6).alias("mean_eda"),
+            (F.max("o_totalprice") / 8000).alias("max_eda"),
+        )
     )
 
 
@@ -118,17 +128,17 @@ def hr(events: DataFrame) -> DataFrame:
     def beat(value: Column) -> Column:
         return F.round(45 + value * (F.col("user_id") % 4 + 1) / 3, 6)
 
-    return _daily(
-        events,
-        F.col("event_id") % 7 != 0,
-        min_hr=beat(F.min("value")),
-        mean_hr=beat(F.avg("value")),
-        max_hr=beat(F.max("value")),
+    return events.groupBy(
+        F.col("user_id").alias("patientid"), F.to_date("ts").alias("datestamp")
+    ).agg(
+        beat(F.min("value")).alias("min_hr"),
+        beat(F.avg("value")).alias("mean_hr"),
+        beat(F.max("value")).alias("max_hr"),
     )
 
 
 def ibi(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_id") % 3 == 0).select(
+    return events.select(
         F.col("user_id").alias("patientid"),
         F.col("ts").alias("datestamp"),
         (F.col("value") * (F.col("user_id") % 5 + 1) / 1800).alias("rmssd_ms"),
@@ -142,6 +152,13 @@ def raw_signal(events: DataFrame) -> DataFrame:
     )
 
 
+def patient_signal(events: DataFrame) -> DataFrame:
+    """Raw samples by patient, as the files of one sensor."""
+    return events.select(
+        F.col("user_id").alias("patientid"), "ts", F.col("event_id").alias("seq"), "value"
+    )
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def scan(name: str) -> DataFrame:
         return spark.read.schema(driver_schema(name)).parquet(f"{sf_dir}/{name}.parquet")
@@ -149,10 +166,11 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(
         demographics=lambda: demographics(scan("customer"), scan("part")),
         dexcom=lambda: dexcom(scan("events")),
-        eventtype=lambda: eventtype(spark),
+        eventtype=lambda: eventtype(scan("events")),
         foodlog=lambda: foodlog(scan("lineitem"), scan("orders"), scan("part")),
-        eda=lambda: eda(scan("events")),
+        eda=lambda: eda(scan("orders")),
         hr=lambda: hr(scan("events")),
         ibi=lambda: ibi(scan("events")),
         raw_signal=lambda: raw_signal(scan("events")),
+        patient_signal=lambda: patient_signal(scan("events")),
     )
