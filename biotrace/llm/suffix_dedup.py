@@ -21,13 +21,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biotrace.llm.anchors import GRAM, GRAMS, LENGTH, anchors, gram_hashes
 from biotrace.llm.common import grouped
-from biotrace.llm.shingles import SEGMENT, bytes_of, mix
-
+from biotrace.llm.shingles import bytes_of, mix
+
+# Bytes of text that are ranked at a time in a task; a longer document is ranked alone.
+SEGMENT = 500_000
+# Bytes of pieces that a task holds before it deals them out.
+HELD = 16_000_000
+# Bytes of a rank that are sent: with those of its bucket enough to tell ranks apart. Ranks
+# that agree in them by chance go on to the second round, which compares all bytes.
+SENT = 6
 # Bytes of text per bucket; about one byte in fifteen is an anchor.
 BUCKET_BYTES = 8_000_000
 
@@ -82,21 +90,32 @@ def _rank(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([b for b, _, _ in out], pa.int64()),
-                pa.array([r.tobytes() for _, r, _ in out], pa.binary()),
+                pa.array([_packed(r) for _, r, _ in out], pa.binary()),
                 pa.array([d.tobytes() for _, _, d in out], pa.binary()),
             ],
             ["bucket", "ranks", "docs"],
         )
 
 
+def _packed(rank: np.ndarray) -> bytes:
+    return rank.view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+
+
+def _unpacked(table: pa.Table) -> np.ndarray:
+    sent = np.frombuffer(b"".join(table.column("ranks").to_pylist()), np.uint8).reshape(-1, SENT)
+    full = np.zeros((len(sent), 8), np.uint8)
+    full[:, :SENT] = sent
+    return full.reshape(-1).view(np.uint64)
+
+
 def _join(table: pa.Table, name: str, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, rank) of every rank that stands in more than one document."""
+    """(doc, rank) of every rank that stands in more than one document; its low four bytes."""
     for (bucket,), table in grouped(batches, ["bucket"]):
-        rank, doc = _join(table, "ranks", np.uint64), _join(table, "docs", np.int64)
+        rank, doc = _unpacked(table), _join(table, "docs", np.int64)
         if bucket >= 0:
             order = np.argsort(rank, kind="stable")
             rank, doc = rank[order], doc[order]
@@ -108,7 +127,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(rank), 100_000):
             part = slice(start, start + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[part]), pa.array(rank[part].view(np.int64))], ["doc", "rank"]
+                [pa.array(doc[part]), pa.array(rank[part].astype(np.uint32).view(np.int32))],
+                ["doc", "rank"],
             )
 
 
@@ -123,9 +143,8 @@ def _pieces_of(data: np.ndarray, offsets: np.ndarray, lists: list) -> tuple[np.n
     cuts = np.searchsorted(row, np.arange(len(lists) + 1))
     for i, known in enumerate(lists):
         if known is not None and cuts[i] < cuts[i + 1]:
-            alive[cuts[i] : cuts[i + 1]] = np.isin(
-                rank[cuts[i] : cuts[i + 1]], np.asarray(known, np.int64).view(np.uint64)
-            )
+            low = rank[cuts[i] : cuts[i + 1]].astype(np.uint32)
+            alive[cuts[i] : cuts[i + 1]] = np.isin(low, np.asarray(known, np.int32).view(np.uint32))
     # Positions with 50 bytes left in their document, and the anchor that stands for each:
     # the first with the least rank of those that start within the first GRAMS bytes.
     ends = np.repeat(offsets[1:], np.diff(offsets))
@@ -162,47 +181,56 @@ def _spread(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     Bucket -1 carries ranges that the batch has settled: equal pieces of a smaller id.
     """
     for batch in batches:
-        held = []
+        held, size_held = [], 0
         for ids, data, offsets, row in _documents(batch):
             lists = batch.column(2)[row : row + len(ids)].to_pylist()
             first, last, rank = _pieces_of(data, offsets, lists)
             if len(first):
                 size = last - first + LENGTH
                 where = np.searchsorted(offsets, first, "right") - 1
-                held.append((ids[where], first - offsets[where], size, rank, _bytes_at(data, first, size)))
-        if not held:
-            continue
-        doc, place, size, rank, text = (np.concatenate(part) for part in zip(*held, strict=True))
-        starts = np.cumsum(size) - size
-        named = _names(text, starts, size)
-        order = np.lexsort((doc, size, named))
-        groups = np.concatenate(
-            [[True], (named[order][1:] != named[order][:-1]) | (size[order][1:] != size[order][:-1])]
-        )
-        least = doc[order][np.flatnonzero(groups)[np.cumsum(groups) - 1]]
-        settled = np.zeros(len(doc), bool)
-        settled[order] = doc[order] > least
-        out = []
-        if settled.any():
-            out.append((-1, doc[settled], place[settled], size[settled], b""))
-        rows = np.flatnonzero(~settled)
-        bucket = (rank[rows] % np.uint64(buckets)).astype(np.int64)
-        rows = rows[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket, kind="stable")
-        cuts = _runs(bucket)
-        for low, high in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
-            part = rows[low:high]
-            piece = _bytes_at(text, starts[part], size[part]).tobytes()
-            out.append((int(bucket[low]), doc[part], place[part], size[part], piece))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([o[0] for o in out], pa.int64()),
-                *[pa.array([o[i].astype(np.int64).tobytes() for o in out], pa.binary()) for i in (1, 2)],
-                pa.array([o[3].astype(np.int32).tobytes() for o in out], pa.binary()),
-                pa.array([o[4] for o in out], pa.binary()),
-            ],
-            ["bucket", "docs", "places", "sizes", "text"],
-        )
+                text = _bytes_at(data, first, size)
+                named = _names(text, np.cumsum(size) - size, size)
+                held.append((ids[where], first - offsets[where], size, rank, named, text))
+                size_held += len(text)
+            if size_held > HELD:
+                yield _dealt(held, buckets)
+                held, size_held = [], 0
+        if held:
+            yield _dealt(held, buckets)
+
+
+def _dealt(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    """Settled ranges, and the rest of the pieces by bucket."""
+    doc, place, size, rank, named, text = (np.concatenate(part) for part in zip(*held, strict=True))
+    starts = np.cumsum(size) - size
+    order = np.lexsort((doc, size, named))
+    groups = np.concatenate(
+        [[True], (named[order][1:] != named[order][:-1]) | (size[order][1:] != size[order][:-1])]
+    )
+    least = doc[order][np.flatnonzero(groups)[np.cumsum(groups) - 1]]
+    settled = np.zeros(len(doc), bool)
+    settled[order] = doc[order] > least
+    out = []
+    if settled.any():
+        out.append((-1, doc[settled], place[settled], size[settled], b""))
+    rows = np.flatnonzero(~settled)
+    bucket = (rank[rows] % np.uint64(buckets)).astype(np.int64)
+    rows = rows[np.argsort(bucket, kind="stable")]
+    bucket = np.sort(bucket, kind="stable")
+    cuts = _runs(bucket)
+    for low, high in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
+        part = rows[low:high]
+        piece = zstandard.compress(_bytes_at(text, starts[part], size[part]).tobytes(), 1)
+        out.append((int(bucket[low]), doc[part], place[part], size[part], piece))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([o[0] for o in out], pa.int64()),
+            *[pa.array([o[i].astype(np.int64).tobytes() for o in out], pa.binary()) for i in (1, 2)],
+            pa.array([o[3].astype(np.int32).tobytes() for o in out], pa.binary()),
+            pa.array([o[4] for o in out], pa.binary()),
+        ],
+        ["bucket", "docs", "places", "sizes", "text"],
+    )
 
 
 def _names(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -222,7 +250,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if bucket < 0:
             first, last = place, place + size
         else:
-            text = np.frombuffer(b"".join(table.column("text").to_pylist()), np.uint8)
+            parts = [zstandard.decompress(part) for part in table.column("text").to_pylist()]
+            text = np.frombuffer(b"".join(parts), np.uint8)
             starts = np.cumsum(size) - size
             count = size - LENGTH + 1
             grams = gram_hashes(text, GRAM)
@@ -310,7 +339,7 @@ def remove_repeats(
     shared = (
         ranked.repartition("bucket", F.when(F.col("bucket") < 0, F.xxhash64("docs")))
         .sortWithinPartitions("bucket")
-        .mapInArrow(_shared, "doc long, rank long")
+        .mapInArrow(_shared, "doc long, rank int")
     )
     lists = shared.groupBy("doc").agg(F.collect_list("rank").alias("known"))
     second = known.join(lists.withColumnRenamed("doc", "id"), "id").select("id", "text", "known")
