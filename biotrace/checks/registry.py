@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ from biotrace.schema import Tables
 from biotrace.sources.fixtures import driver_schema, fixture_tables, foodlog
 from biotrace.sources.quality import duplicate_keys, orphan_rows
 from biotrace.sources.sinks import with_rows_appended
-from biotrace.streaming.alerts import shared_folder, start_sugar_stream, sugar_alerts
+from biotrace.streaming.alerts import start_sugar_stream, sugar_alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 Job = Callable[..., DataFrame]
@@ -70,6 +72,18 @@ def _foodlog_append(t: Tables) -> DataFrame:
     return with_rows_appended(t.foodlog, pie)
 
 
+def _food_at_reading_exact(t: Tables) -> DataFrame:
+    """Meals at the very time of a reading, where the sensor stores full minutes."""
+    minute = F.date_trunc("minute", "datestamp").cast("timestamp_ntz")
+    readings = t.dexcom.withColumn("datestamp", minute)
+    return nutrition.food_at_reading(Tables(dexcom=readings, foodlog=t.foodlog))
+
+
+def _hrv_from_raw(t: Tables) -> DataFrame:
+    """A question answered on a table that was built from raw samples."""
+    return cardio.hrv(Tables(ibi=rollups.ibi_from_raw(t.patient_signal, gap_seconds=21600)))
+
+
 def _orphan_days(t: Tables) -> DataFrame:
     """Beat rows on patient-days without EDA."""
     child = t.ibi.withColumn("day", F.to_date("datestamp"))
@@ -144,12 +158,10 @@ JOBS: dict[str, Job] = {
     "birthdays_month": _aged(demographics.birthdays_month),
     "event_types": events.event_types,
     "diabetic_stress": overview.diabetic_stress,
-    "diabetic_stress_hrv": _with(
-        overview.diabetic_stress, eda_above=400, hrv_below=50.530035, hr_above=1000
-    ),
+    "diabetic_stress_hrv": overview.diabetic_stress_measures,
     "diabetic_stress_patients": overview.diabetic_stress_patients,
     "food_at_reading": _with(nutrition.food_at_reading, minutes=60),
-    "food_at_reading_exact": nutrition.food_at_reading,
+    "food_at_reading_exact": _food_at_reading_exact,
     "food_at_peak": _with(nutrition.food_at_peak, minutes=60),
     "long_names": _with(demographics.long_names, 4),
     "title_foods": _with(nutrition.title_foods, "et"),
@@ -194,7 +206,18 @@ JOBS: dict[str, Job] = {
     "daily_signal_rollup": lambda t: rollups.daily_signal_rollup(t.raw_signal),
     "daily_hr_rollup": lambda t: rollups.daily_hr_rollup(t.raw_signal),
     "ibi_runs": lambda t: rollups.ibi_runs(t.raw_signal),
-    "rmssd_daily": lambda t: rollups.rmssd_daily(t.raw_signal),
+    "rmssd_daily": lambda t: rollups.rmssd_daily(t.raw_signal).drop("kept_from"),
+    "glucose_dense_rank_dates": _with(glucose.glucose_dense_rank, true_date=True),
+    "eda_day_leader_dates": _with(cardio.eda_day_leader, true_date=True),
+    "hr_daily_high_dates": _with(cardio.hr_daily_high, true_date=True),
+    "fiber_share_dates": _with(nutrition.fiber_share, true_date=True),
+    "fiber_days": nutrition.fiber_days,
+    "eda_from_raw": lambda t: rollups.eda_from_raw(t.patient_signal),
+    "hr_from_raw": lambda t: rollups.hr_from_raw(t.patient_signal),
+    # A patient has few events a day, so a run may pause for longer.
+    "ibi_from_raw": lambda t: rollups.ibi_from_raw(t.patient_signal, gap_seconds=21600),
+    "bvp_from_raw": lambda t: rollups.bvp_from_raw(t.patient_signal),
+    "hrv_from_raw": _hrv_from_raw,
     "foodlog_append": _foodlog_append,
     "duplicate_keys": lambda t: duplicate_keys(t.foodlog, "patientid", "datetime"),
     "orphan_rows": _orphan_days,
@@ -216,26 +239,32 @@ def _sql_query(sql: str) -> Query:
     return run
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, which is set here where a test has none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='biotrace-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _sugar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the meal stream to its end and return the stored warnings."""
+    """Run the meal stream to its end, in several micro-batches, and return the warnings."""
 
     def scan(name: str) -> DataFrame:
         return spark.read.schema(driver_schema(name)).parquet(f"{sf_dir}/{name}.parquet")
 
+    folder = _new_folder(spark, "sugar-stream")
+    # The table is one file or folder; the stream reads it in parts.
+    scan("lineitem").repartition(4).write.parquet(f"{folder}/lineitem")
     lines = (
         spark.readStream.schema(driver_schema("lineitem"))
-        .option("pathGlobFilter", "lineitem.parquet")
-        .parquet(sf_dir)
-    )
-    out = shared_folder(spark, "sugar-stream")
-    query = start_sugar_stream(
-        foodlog(lines, scan("orders"), scan("part")),
-        f"{out}/foodlog",
-        f"{out}/alerts",
-        f"{out}/checkpoint",
+        .option("maxFilesPerTrigger", 2)
+        .parquet(f"{folder}/lineitem")
     )
+    query = start_sugar_stream(foodlog(lines, scan("orders"), scan("part")), folder)
     query.awaitTermination()
-    return comparable(spark.read.parquet(f"{out}/alerts").drop("batch"))
+    return comparable(spark.read.parquet(f"{folder}/alerts").drop("query", "batch"))
 
 
 QUERIES: dict[str, Query] = {
@@ -245,4 +274,7 @@ QUERIES: dict[str, Query] = {
     "age_of_sql": _sql_query(
         f"SELECT patientid, age_in_years(dob, DATE'{AS_OF}') AS age FROM demographics"
     ),
+    "retrieve_age_sql": _sql_query(
+        f"SELECT 5 AS patientid, retrieve_age(5, DATE'{AS_OF}') AS age"
+    ),
 }

@@ -21,12 +21,16 @@ def _col(value: ColumnOrName) -> Column:
 
 
 def round_half_up(value: ColumnOrName, digits: int = 2) -> Column:
-    """Round a double as an exact decimal would be rounded.
+    """Round a double as the decimal it stands for, once, half away from zero.
 
-    The inner round drops binary noise, so a mean of 78.784999999999997 that
-    stands for 78.785 goes up and does not depend on the order of summation.
+    A double stands for its 15 significant digits, which drops binary noise: a mean of
+    78.784999999999997 is 78.785 and goes up, and 2.0049999996 stays below 2.005.
     """
-    return F.round(F.round(_col(value), 9), digits)
+    text = F.format_string("%.14e", _col(value).cast("double"))
+    plain = F.abs(_col(value)) < 1e15
+    exact = F.round(F.when(plain, text).cast("decimal(38,18)"), digits).cast("double")
+    # Past 15 digits before the point there is nothing to round; NaN and infinity stay.
+    return F.when(plain, exact).otherwise(_col(value).cast("double"))
 
 
 def round_to_int(value: ColumnOrName) -> Column:
@@ -154,3 +158,8 @@ def last_word_character(text: ColumnOrName) -> Column:
 def join_text(*parts: ColumnOrName) -> Column:
     """Concatenation in which a NULL counts as empty."""
     return F.concat_ws("", *[_col(part) for part in parts])
+
+
+def day_of(value: ColumnOrName, true_date: bool = False) -> Column:
+    """Day of the month, as the questions group by it, or the date itself."""
+    return F.to_date(_col(value)) if true_date else F.dayofmonth(_col(value))

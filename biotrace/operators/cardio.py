@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from biotrace.functions.exprs import (
     age_months,
     age_years,
+    day_of,
     hrv_score,
     round_half_up,
     round_to_int,
@@ -58,8 +59,8 @@ def stress_days(
     )
 
 
-def eda_day_leader(t: Tables) -> DataFrame:
-    """Patient who most often had the highest EDA of a day of the month.
+def eda_day_leader(t: Tables, true_date: bool = False) -> DataFrame:
+    """Patient who most often had the highest EDA of a day of the month, or of a date.
 
     The rank-1 filter becomes a group limit on the map side, so only candidates
     of each day are shuffled although there are at most 31 days.
@@ -67,7 +68,7 @@ def eda_day_leader(t: Tables) -> DataFrame:
     by_day = Window.partitionBy("day").orderBy(F.desc("max_eda"), "patientid")
     leaders = (
         t.eda.where(F.col("max_eda").isNotNull())
-        .select("patientid", F.dayofmonth("datestamp").alias("day"), "max_eda")
+        .select("patientid", day_of("datestamp", true_date).alias("day"), "max_eda")
         .withColumn("place", F.row_number().over(by_day))
         .where(F.col("place") == 1)
     )
@@ -279,9 +280,9 @@ def corr_hrv_eda(t: Tables) -> DataFrame:
 # --- heart rate --------------------------------------------------------------
 
 
-def hr_daily_high(t: Tables) -> DataFrame:
-    """Highest mean rate per patient and day of the month."""
-    return t.hr.groupBy("patientid", F.dayofmonth("datestamp").alias("day")).agg(
+def hr_daily_high(t: Tables, true_date: bool = False) -> DataFrame:
+    """Highest mean rate per patient and day of the month, or per date."""
+    return t.hr.groupBy("patientid", day_of("datestamp", true_date).alias("day")).agg(
         round_half_up(F.max("mean_hr")).alias("high_hr")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from biotrace.functions.exprs import (
     age_months,
     age_years,
+    day_of,
     epoch_seconds,
     exact_epoch_seconds,
     number_text,
@@ -51,10 +52,10 @@ def null_glucose(t: Tables) -> DataFrame:
     return with_key_in(t.demographics, missing, "patientid").select("patientid", "gender", "hba1c")
 
 
-def glucose_dense_rank(t: Tables, ordered: bool = True) -> DataFrame:
-    """Dense rank of each patient's highest value per day of the month."""
+def glucose_dense_rank(t: Tables, ordered: bool = True, true_date: bool = False) -> DataFrame:
+    """Dense rank of each patient's highest value per day of the month, or per date."""
     highest = (
-        t.dexcom.groupBy("patientid", F.dayofmonth("datestamp").alias("day"))
+        t.dexcom.groupBy("patientid", day_of("datestamp", true_date).alias("day"))
         .agg(F.max(GLUCOSE).alias("max_glucose"))
         .select("patientid", "max_glucose")
     )

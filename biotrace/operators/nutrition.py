@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from biotrace.functions.exprs import (
     age_months,
     age_years,
+    day_of,
     epoch_seconds,
     hour_between,
     matches_any_case,
@@ -136,14 +137,20 @@ def word_mode(t: Tables, word: str = "spinach") -> DataFrame:
     return word_time(dated, word).agg(F.max("datetime").alias("mode"))
 
 
-def fiber_share(t: Tables, allowance: int = 25) -> DataFrame:
-    """Mean fibre of a meal over the daily allowance, per day of the month."""
+def fiber_share(t: Tables, allowance: int = 25, true_date: bool = False) -> DataFrame:
+    """Mean fibre of a meal over the daily allowance, per day of the month, or per date."""
     mean = F.sum("dietary_fiber") / (F.count("dietary_fiber") * allowance)
-    return t.foodlog.groupBy("patientid", F.dayofmonth("datetime").alias("day")).agg(
+    return t.foodlog.groupBy("patientid", day_of("datetime", true_date).alias("day")).agg(
         F.round(mean, 2).alias("fibre")
     )
 
 
+def fiber_days(t: Tables, above: int = 25) -> DataFrame:
+    """Dates on which a patient's meals hold more fibre than the allowance."""
+    daily = t.foodlog.groupBy("patientid", F.to_date("datetime").alias("day"))
+    return daily.agg(F.sum("dietary_fiber").alias("fibre")).where(F.col("fibre") > above)
+
+
 def sugar_patients(t: Tables, above: float = 30) -> DataFrame:
     return t.foodlog.where(F.col("sugar") > above).select("patientid").distinct()
 

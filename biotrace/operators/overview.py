@@ -124,6 +124,20 @@ def _stress_by_patient(t: Tables, hba1c_from: float) -> DataFrame:
     return with_key_in(joined, diabetic, "patientid")
 
 
+def diabetic_stress_measures(t: Tables, hba1c_from: float = 5.7) -> DataFrame:
+    """The (pre)diabetic patients as one group: size, highest EDA, HRV and highest rate.
+
+    The HRV is the one of the full join, in which a beat counts once per EDA and HR row.
+    """
+    repeats = F.col("eda_rows") * F.col("hr_rows")
+    return _stress_by_patient(t, hba1c_from).agg(
+        F.count("*").alias("patients"),
+        F.max("max_eda").alias("max_eda"),
+        (weighted_mean(F.col("rmssd_sum"), F.col("rmssd_rows"), repeats) * 600).alias("hrv"),
+        F.max("max_hr").alias("max_hr"),
+    )
+
+
 def diabetic_stress(
     t: Tables,
     hba1c_from: float = 5.7,
@@ -135,14 +149,7 @@ def diabetic_stress(
 
     The test is on the whole group: the result has one row or none.
     """
-    repeats = F.col("eda_rows") * F.col("hr_rows")
-    group = _stress_by_patient(t, hba1c_from).agg(
-        F.count("*").alias("patients"),
-        F.max("max_eda").alias("max_eda"),
-        (weighted_mean(F.col("rmssd_sum"), F.col("rmssd_rows"), repeats) * 600).alias("hrv"),
-        F.max("max_hr").alias("max_hr"),
-    )
-    return group.where(
+    return diabetic_stress_measures(t, hba1c_from).where(
         (F.col("max_eda") > eda_above)
         | (F.col("hrv") < hrv_below)
         | (F.col("max_hr") > hr_above)

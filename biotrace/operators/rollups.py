@@ -104,31 +104,44 @@ def kept_window(
     )
 
 
-def kept_samples(raw: DataFrame, gap_seconds: float = 3600, minutes: int = 30) -> DataFrame:
-    """Samples inside the kept minutes, both ends included."""
+def kept_samples(
+    raw: DataFrame, gap_seconds: float = 3600, minutes: int = 30, slot_seconds: float = 60
+) -> DataFrame:
+    """Samples inside the kept minutes, both ends included, with their slot.
+
+    The window is spread over its few slots and joined on series, day and slot: the
+    samples of a hot day lie in many slots, and most find no partner.
+    """
+    window = kept_window(raw, gap_seconds, minutes)
+    first, last = (
+        F.floor(epoch_seconds(c) / slot_seconds) for c in ("kept_from", "kept_to")
+    )
+    spread = window.withColumn("slot", F.explode(F.sequence(first, last)))
     return (
         _with_day(raw)
-        .join(kept_window(raw, gap_seconds, minutes), _DAY)
+        .withColumn("slot", _slot(slot_seconds))
+        .join(spread, [*_DAY, "slot"])
         .where(F.col("ts").between(F.col("kept_from"), F.col("kept_to")))
-        .drop("kept_from", "kept_to")
+        .drop("kept_to")
     )
 
 
 def rmssd_daily(
     raw: DataFrame, gap_seconds: float = 3600, minutes: int = 30, slot_seconds: float = 60
 ) -> DataFrame:
-    """Root mean square of successive differences over the kept minutes.
+    """Root mean square of successive differences over the kept minutes, and their mean.
 
     Differences are taken inside short slots; a slot also hands on its first and
     last value, which give the difference across each border.
     """
-    kept = kept_samples(raw, gap_seconds, minutes).withColumn("slot", _slot(slot_seconds))
+    kept = kept_samples(raw, gap_seconds, minutes, slot_seconds)
     inside = Window.partitionBy(*_DAY, "slot").orderBy("ts", "seq", "value")
     step = F.col("value") - F.lag("value").over(inside)
     slots = (
         kept.select(
             *_DAY,
             "slot",
+            "kept_from",
             "value",
             step.alias("step"),
             F.row_number().over(inside).alias("place"),
@@ -138,6 +151,9 @@ def rmssd_daily(
         .agg(
             F.sum(F.col("step") * F.col("step")).alias("squares"),
             F.count("step").alias("steps"),
+            F.sum("value").alias("total"),
+            F.count("value").alias("values"),
+            F.first("kept_from").alias("kept_from"),
             F.max(F.when(F.col("place") == 1, F.col("value"))).alias("first"),
             F.max(F.when(F.col("is_last"), F.col("value"))).alias("last"),
         )
@@ -151,6 +167,8 @@ def rmssd_daily(
             F.sum("steps").alias("steps"),
             F.sum(F.col("across") * F.col("across")).alias("squares_across"),
             F.count("across").alias("steps_across"),
+            (F.sum("total") / F.sum("values")).alias("mean_value"),
+            F.first("kept_from").alias("kept_from"),
         )
         .select(
             *_DAY,
@@ -159,5 +177,53 @@ def rmssd_daily(
                 (F.col("squares") + F.coalesce("squares_across", F.lit(0.0)))
                 / F.nullif(F.col("steps") + F.col("steps_across"), F.lit(0))
             ).alias("rmssd"),
+            "mean_value",
+            "kept_from",
         )
     )
+
+
+# --- from raw samples of patients to the tables ------------------------------
+
+
+def _as_series(samples: DataFrame) -> DataFrame:
+    return samples.withColumnRenamed("patientid", "series")
+
+
+def _daily_range(samples: DataFrame, name: str) -> DataFrame:
+    return samples.groupBy("patientid", F.to_date("ts").alias("datestamp")).agg(
+        F.min("value").alias(f"min_{name}"),
+        F.avg("value").alias(f"mean_{name}"),
+        F.max("value").alias(f"max_{name}"),
+    )
+
+
+def eda_from_raw(samples: DataFrame) -> DataFrame:
+    """Table ``eda`` from skin samples (patientid, ts, seq, value)."""
+    return _daily_range(samples, "eda")
+
+
+def hr_from_raw(samples: DataFrame) -> DataFrame:
+    """Table ``hr`` from heart-rate samples."""
+    return _daily_range(samples, "hr")
+
+
+def ibi_from_raw(samples: DataFrame, gap_seconds: float = 3600, minutes: int = 30) -> DataFrame:
+    """Table ``ibi`` from beat intervals: one row for the kept minutes of a patient-day."""
+    return rmssd_daily(_as_series(samples), gap_seconds, minutes).select(
+        F.col("series").alias("patientid"),
+        F.col("kept_from").alias("datestamp"),
+        F.col("rmssd").alias("rmssd_ms"),
+        F.col("mean_value").alias("mean_ibi_ms"),
+    )
+
+
+def bvp_from_raw(samples: DataFrame, width: float = 1.0) -> DataFrame:
+    """Lowest, median and highest blood volume pulse per patient and day."""
+    return daily_signal_rollup(_as_series(samples), width).select(
+        F.col("series").alias("patientid"),
+        F.col("day").alias("datestamp"),
+        F.col("min_value").alias("min_bvp"),
+        F.col("median_value").alias("median_bvp"),
+        F.col("max_value").alias("max_bvp"),
+    )

@@ -43,8 +43,12 @@ SCHEMAS: dict[str, T.StructType] = {
     "ibi": struct(patientid=LONG, datestamp=TIME, rmssd_ms=REAL, mean_ibi_ms=REAL),
 }
 
+# Blood volume pulse of a patient and day; no question reads it.
+BVP = struct(patientid=LONG, datestamp=DAY, min_bvp=REAL, median_bvp=REAL, max_bvp=REAL)
+
 # One sensor sample; seq breaks ties between samples with the same time.
 RAW_SIGNAL = struct(series=TEXT, ts=TIME, seq=LONG, value=REAL)
+PATIENT_SIGNAL = struct(patientid=LONG, ts=TIME, seq=LONG, value=REAL)
 
 # Child table: the demographics columns plus two per-patient markers.
 PATIENT_BIOMETRICS = T.StructType(

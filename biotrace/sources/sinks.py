@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 
-from biotrace.operators.cardio import eda_without_min, ibi_datepart
 from biotrace.operators.glucose import glucose_daily, glucose_summary
 from biotrace.operators.overview import patient_overview, patient_overview_daily
 from biotrace.schema import Tables
 
 VIEWS = {
     "patient_glucose_summary": glucose_summary,
-    "demo": glucose_daily,
+    "demo": partial(glucose_daily, ordered=False),
     "patient_overview": patient_overview,
     "patient_overview_daily": patient_overview_daily,
 }
@@ -51,16 +52,5 @@ def create_views(tables: Tables) -> None:
     """Register the base tables and the stored views over them."""
     tables.register_views()
     for name, job in VIEWS.items():
+        # A view is queried further, so it carries no order.
         job(tables).createOrReplaceTempView(name)
-
-
-__all__ = [
-    "VIEWS",
-    "append_rows",
-    "create_views",
-    "eda_without_min",
-    "ibi_datepart",
-    "save_table",
-    "with_rows_appended",
-    "write_table",
-]

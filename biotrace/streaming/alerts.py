@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,47 +30,52 @@ def sugar_alerts(foodlog: DataFrame, above: float = 20) -> DataFrame:
     )
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the session names for checkpoints.
+def _query_id(spark: SparkSession, checkpoint: str) -> str | None:
+    """The id that Spark keeps in a checkpoint; None for one that was never used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint, "metadata")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    return json.loads(spark.read.text(path.toString()).first()[0])["id"]
 
-    Only a local session may go without the setting.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", ""
-    )
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    unique = spark.sql("SELECT uuid()").first()[0]
-    return f"{root.rstrip('/')}/{name}-{unique}"
+
+def _filled(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(path) and len(files.listStatus(path)) > 0
 
 
 def start_sugar_stream(
     foodlog: DataFrame,
-    foodlog_path: str,
-    alerts_path: str,
-    checkpoint: str,
+    folder: str,
     above: float = 20,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Store all new rows, and warnings beside them, until the input is used up.
-
-    Each micro-batch owns one partition folder of both outputs. A batch that is
-    replayed after a failure replaces what it wrote, so nothing doubles.
+    """Store all new rows and the warnings for them below one shared folder.
+
+    ``folder/foodlog`` and ``folder/alerts`` get a partition per query and micro-batch, and
+    ``folder/checkpoint`` the progress. A batch that is replayed after a failure replaces
+    what it wrote, so nothing doubles; a lost checkpoint over filled output is an error, as
+    its batches would be numbered and stored anew. The source limits a micro-batch by its
+    own options, such as ``maxFilesPerTrigger``. ``every`` (as in "1 minute") keeps the
+    stream running; without it the stream ends when the input is used up.
     """
+    spark = foodlog.sparkSession
+    foodlog_path, alerts_path, checkpoint = (
+        f"{folder.rstrip('/')}/{name}" for name in ("foodlog", "alerts", "checkpoint")
+    )
+    if _query_id(spark, checkpoint) is None and _filled(spark, foodlog_path):
+        raise ValueError(f"{foodlog_path} holds meals but {checkpoint} is new")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        stored = f"{foodlog_path}/batch={batch_id}"
+        place = f"query={_query_id(batch.sparkSession, checkpoint)}/batch={batch_id}"
+        stored = f"{foodlog_path}/{place}"
         batch.write.mode("overwrite").parquet(stored)
         # The warnings read what was stored, so the batch is computed only once.
         kept = batch.sparkSession.read.schema(batch.schema).parquet(stored)
-        sugar_alerts(kept, above).write.mode("overwrite").parquet(
-            f"{alerts_path}/batch={batch_id}"
-        )
+        sugar_alerts(kept, above).write.mode("overwrite").parquet(f"{alerts_path}/{place}")
 
-    return (
-        foodlog.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = foodlog.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    if every is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=every).start()

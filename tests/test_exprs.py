@@ -65,7 +65,7 @@ def test_age_at_most_ends_on_the_birthday(spark, dob, ok):
 
 @pytest.mark.parametrize(
     ("value", "digits", "rounded"),
-    [(78.78499999999999, 2, 78.79), (0.125, 2, 0.13), (-0.125, 2, -0.13), (2.4999, 0, 2.0)],
+    [(78.78499999999999, 2, 78.79), (0.125, 2, 0.13), (-0.125, 2, -0.13), (2.4999, 0, 2.0), (2.0049999996, 2, 2.0), (1e20, 2, 1e20)],
 )
 def test_round_half_up(spark, value, digits, rounded):
     assert one(spark, X.round_half_up(F.lit(value), digits)) == rounded

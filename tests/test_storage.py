@@ -13,7 +13,7 @@ from biotrace.operators import overview
 from biotrace.schema import PATIENT_BIOMETRICS, SCHEMAS, Tables
 from biotrace.sources import quality, readers, sinks
 from biotrace.sources.fixtures import fixture_tables
-from biotrace.streaming.alerts import shared_folder, start_sugar_stream, sugar_alerts
+from biotrace.streaming.alerts import start_sugar_stream, sugar_alerts
 
 SF_DIR = f"{TESTDATA}/sf0.001"
 
@@ -50,7 +50,62 @@ def test_csv_readers(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text("datetime,ibi\n2024-01-01 00:00:01.5,0.8\n")
     raw = readers.read_signal_csv(spark, str(tmp_path / "IBI_*.csv"))
     at = datetime(2024, 1, 1, 0, 0, 1, 500000)
-    assert rows_of(raw) == [("IBI_001", at, 0, 0.8), ("IBI_002", at, 0, 0.8)]
+    assert rows_of(raw) == [(1, "IBI", at, 0, 0.8), (2, "IBI", at, 0, 0.8)]
+
+
+def test_equal_names_in_two_folders_stay_two_patients(spark, tmp_path):
+    for patient in ("001", "002"):
+        (tmp_path / patient).mkdir()
+        (tmp_path / patient / "HR.csv").write_text("datetime,hr\n2024-01-01 00:00:01,70\n")
+    raw = readers.read_signal_csv(spark, str(tmp_path / "*" / "HR.csv"))
+    assert rows_of(raw, "patientid", "sensor") == [(1, "HR"), (2, "HR")]
+    assert rows_of(readers.signal_of(raw, "hr"), "patientid") == [(1,), (2,)]
+
+
+def test_a_path_without_patient_is_an_error(spark, tmp_path):
+    (tmp_path / "notes.csv").write_text("datetime,hr\n2024-01-01 00:00:01,70\n")
+    with pytest.raises(Exception, match="no patient and sensor"):
+        readers.read_signal_csv(spark, str(tmp_path / "notes.csv")).collect()
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    path = tmp_path / "eda.csv"
+    path.write_text("patientid,datestamp,max_eda,extra,mean_eda,min_eda\n1,2024-01-01,9,x,5,1\n")
+    found = readers.read_table_csv(spark, str(path), "eda")
+    assert found.columns == SCHEMAS["eda"].names
+    assert rows_of(found) == [(1, date(2024, 1, 1), 1.0, 5.0, 9.0)]
+
+
+def test_source_spelling_of_the_surname(spark, tmp_path):
+    path = tmp_path / "people.csv"
+    path.write_text("patientid,firstname,lasttname,gender,hba1c,dob\n1,Ann,Lee,FEMALE,5.5,1980-01-31\n")
+    assert rows_of(readers.read_table_csv(spark, str(path), "demographics"), "lastname") == [("Lee",)]
+    stored = str(tmp_path / "people")
+    people = readers.read_table_csv(spark, str(path), "demographics")
+    people.withColumnRenamed("lastname", "lasttname").write.parquet(stored)
+    assert rows_of(readers.read_table(spark, stored, "demographics"), "lastname") == [("Lee",)]
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    path = tmp_path / "eda.csv"
+    path.write_text("patientid,datestamp,max_eda\n1,2024-01-01,9\n")
+    with pytest.raises(ValueError, match="min_eda"):
+        readers.read_table_csv(spark, str(path), "eda")
+    spark.range(1).toDF("patientid").write.parquet(str(tmp_path / "eda"))
+    with pytest.raises(ValueError, match="datestamp"):
+        readers.read_table(spark, str(tmp_path / "eda"), "eda")
+
+
+def test_save_table(spark, tables):
+    sinks.save_table(tables.eventtype, "stored_event_types")
+    assert rows_of(spark.table("stored_event_types")) == rows_of(tables.eventtype)
+    spark.sql("DROP TABLE stored_event_types")
+
+
+def test_views_carry_no_order(spark, tables):
+    sinks.create_views(tables)
+    plan = spark.sql("SELECT * FROM demo WHERE patient_day <= 3")._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
 
 
 def test_append_of_some_columns(spark, tables, tmp_path):
@@ -103,18 +158,22 @@ def test_quality_checks(make_tables):
 
 
 def test_stream_equals_batch_and_a_second_run_adds_nothing(spark, make_tables, tmp_path):
-    source, log, alerts, state = (str(tmp_path / n) for n in ("in", "log", "alerts", "state"))
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
     first = [meal(1, "pie", 32), meal(1, "soup", 20), meal(2, None, 21)]
     make_tables(foodlog=first).foodlog.write.parquet(source)
 
     def run():
-        stream = spark.readStream.schema(SCHEMAS["foodlog"]).parquet(source)
-        start_sugar_stream(stream, log, alerts, state).awaitTermination()
+        stream = (
+            spark.readStream.schema(SCHEMAS["foodlog"])
+            .option("maxFilesPerTrigger", 1)
+            .parquet(source)
+        )
+        start_sugar_stream(stream, folder).awaitTermination()
 
     def stored():
-        return (
-            rows_of(spark.read.parquet(log).drop("batch")),
-            rows_of(spark.read.parquet(alerts).drop("batch")),
+        return tuple(
+            rows_of(spark.read.parquet(f"{folder}/{name}").drop("query", "batch"))
+            for name in ("foodlog", "alerts")
         )
 
     run()
@@ -126,22 +185,33 @@ def test_stream_equals_batch_and_a_second_run_adds_nothing(spark, make_tables, t
 
     make_tables(foodlog=[meal(3, "cake", 40)]).foodlog.write.mode("append").parquet(source)
     run()
-    assert len(stored()[0]) == 4
-    assert len(stored()[1]) == 3
+    assert [len(rows) for rows in stored()] == [4, 3]
+    batches = spark.read.parquet(f"{folder}/foodlog").select("query", "batch").distinct()
+    assert batches.count() > 1
+    assert batches.select("query").distinct().count() == 1
+
+
+def test_a_new_checkpoint_over_filled_output_is_refused(spark, make_tables, tmp_path):
+    source, folder = str(tmp_path / "in"), tmp_path / "out"
+    make_tables(foodlog=[meal(1, "pie", 32)]).foodlog.write.parquet(source)
+    stream = spark.readStream.schema(SCHEMAS["foodlog"]).parquet(source)
+    start_sugar_stream(stream, str(folder)).awaitTermination()
+    (folder / "checkpoint").rename(folder / "lost")
+    with pytest.raises(ValueError, match="is new"):
+        start_sugar_stream(stream, str(folder))
+    assert spark.read.parquet(f"{folder}/alerts").count() == 1
 
 
-def test_replayed_batch_replaces_its_output(spark, make_tables, tmp_path):
-    source, log, alerts = (str(tmp_path / n) for n in ("in", "log", "alerts"))
+def test_a_stream_that_keeps_running(spark, make_tables, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
     make_tables(foodlog=[meal(1, "pie", 32)]).foodlog.write.parquet(source)
-    for state in ("state1", "state2"):
-        stream = spark.readStream.schema(SCHEMAS["foodlog"]).parquet(source)
-        start_sugar_stream(stream, log, alerts, str(tmp_path / state)).awaitTermination()
-    assert spark.read.parquet(alerts).count() == 1
-
-
-def test_folders_lie_where_the_session_says(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
-    assert first != second
-    if named:
-        assert first.startswith(f"{named}/x-")
+    stream = spark.readStream.schema(SCHEMAS["foodlog"]).parquet(source)
+    query = start_sugar_stream(stream, folder, every="1 second")
+    try:
+        query.processAllAvailable()
+        make_tables(foodlog=[meal(2, "cake", 40)]).foodlog.write.mode("append").parquet(source)
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert spark.read.parquet(f"{folder}/alerts").count() == 2
