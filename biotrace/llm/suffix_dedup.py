@@ -181,6 +181,7 @@ def _spread(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     Bucket -1 carries ranges that the batch has settled: equal pieces of a smaller id.
     """
     for batch in batches:
+        batch = batch.filter(batch.column(2).is_valid())
         held, size_held = [], 0
         for ids, data, offsets, row in _documents(batch):
             lists = batch.column(2)[row : row + len(ids)].to_pylist()
@@ -342,7 +343,8 @@ def remove_repeats(
         .mapInArrow(_shared, "doc long, rank int")
     )
     lists = shared.groupBy("doc").agg(F.collect_list("rank").alias("known"))
-    second = known.join(lists.withColumnRenamed("doc", "id"), "id").select("id", "text", "known")
+    # A left join, as the last one is: so both take their texts from one shuffle.
+    second = texts.join(lists.withColumnRenamed("doc", "id"), "id", "left").select("id", "text", "known")
     pieces = second.mapInArrow(partial(_spread, buckets=buckets), _PIECES)
     ranges = (
         pieces.repartition("bucket", F.when(F.col("bucket") < 0, F.xxhash64("docs")))
