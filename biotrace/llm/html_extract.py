@@ -56,8 +56,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
 )
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-# A page may be cut off inside a tag.
-_CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
+# A page may be cut off inside a tag; as in a browser, a tag that never ends takes the rest.
+_CUT_TAG = re.compile(r"<[A-Za-z/!?].*\Z", re.S)
 # Elements below this depth share the path of the element at it.
 DEPTH = 40
 _NAME = re.compile(r"[A-Za-z]+")
