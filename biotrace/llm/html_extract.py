@@ -245,6 +245,17 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     return kept.groupBy("host").agg(F.collect_list("path").alias("paths"))
 
 
+def hot_hosts(pages: DataFrame) -> DataFrame:
+    """(host, parts) of hosts with more pages than a shuffle partition should hold.
+
+    There are fewer of them than partitions, so that they may be broadcast.
+    """
+    partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.ceil(F.col("count") * partitions / max(1, pages.count()))
+    counts = pages.groupBy("host").count().select("host", share.cast("int").alias("parts"))
+    return F.broadcast(counts.where("parts > 1"))
+
+
 def extract_pages(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
@@ -262,8 +273,14 @@ def extract_pages(
         F.col(html_col).cast("string").alias("html"),
     )
     paths = winning_paths(rows.select("host", "html"))
+    parts = hot_hosts(rows)
+    count = F.coalesce("parts", F.lit(1))
+    spread = rows.join(parts, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), count).cast("int"))
+    copies = paths.join(parts, "host", "left").select(
+        "host", "paths", F.explode(F.sequence(F.lit(0), count - 1)).alias("part")
+    )
     return (
-        rows.join(paths, "host", "left")
+        spread.join(copies, ["host", "part"], "left")
         .select("page_id", "url", "html", "paths")
         .mapInArrow(partial(_extract, at=2), "page_id long, url string, text string")
     )
