@@ -39,6 +39,9 @@ SENT = 6
 # Bytes of text per bucket; about one byte in fifteen is an anchor.
 BUCKET_BYTES = 8_000_000
 
+# Parts of a bucket that are ranked one after the other in the second round.
+TURNS = 16
+
 _RANKS = "bucket long, ranks binary, docs binary"
 _PIECES = "bucket long, docs binary, places binary, sizes binary, text binary"
 
@@ -243,6 +246,39 @@ def _names(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return mix(np.add.reduceat(grams[: len(text)] * weight, starts))
 
 
+def _again(
+    text: np.ndarray, doc: np.ndarray, starts: np.ndarray, begin: np.ndarray, count: np.ndarray
+) -> np.ndarray:
+    """Whether the 50 bytes at each position of a bucket also stand in a smaller document.
+
+    Equal strings fall into the same turn, so a bucket is ranked a few turns' worth at a time.
+    """
+    kind = np.int32 if len(text) < 2**31 else np.int64
+    at = np.arange(int(count.sum()), dtype=kind)
+    at += np.repeat((starts - begin).astype(kind), count)
+    grams = np.empty(len(text) - GRAM + 1, np.uint64)
+    turn = np.empty(len(grams), np.uint8)
+    for low in range(0, len(grams), SEGMENT):
+        part = gram_hashes(text[low : low + SEGMENT + GRAM - 1], GRAM)
+        grams[low : low + len(part)] = part
+        turn[low : low + len(part)] = part % np.uint64(TURNS)
+    turn = turn[at]
+    again = np.zeros(len(at), bool)
+    for which in range(TURNS):
+        rows = np.flatnonzero(turn == which)
+        # The rank pair of prefix doubling: 26 bytes here, and 26 bytes after 24.
+        one, two = grams[at[rows]], grams[at[rows] + LENGTH - GRAM]
+        owner = doc[np.searchsorted(begin, rows, "right") - 1]
+        order = np.lexsort((two, one))
+        rows, one, two, owner = rows[order], one[order], two[order], owner[order]
+        fresh = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        groups = np.flatnonzero(np.concatenate([[True], fresh])[: len(rows)])
+        if len(groups):
+            least = np.minimum.reduceat(owner, groups)
+            again[rows] = owner > np.repeat(least, np.diff(np.append(groups, len(rows))))
+    return again
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Byte ranges covered by 50-byte strings that also start in a smaller document."""
     for (bucket,), table in grouped(batches, ["bucket"]):
@@ -255,28 +291,17 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = np.frombuffer(b"".join(parts), np.uint8)
             starts = np.cumsum(size) - size
             count = size - LENGTH + 1
-            grams = gram_hashes(text, GRAM)
             begin = np.cumsum(count) - count
-            within = np.arange(int(count.sum())) - np.repeat(begin, count)
-            at = np.repeat(starts, count) + within
-            # The rank pair of prefix doubling: 26 bytes here, and 26 bytes after 24.
-            one, two = grams[at], grams[at + LENGTH - GRAM]
-            owner = np.repeat(doc, count)
-            order = np.lexsort((two, one))
-            fresh = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-            groups = np.flatnonzero(np.concatenate([[True], fresh]))
-            least = np.minimum.reduceat(owner[order], groups)
-            again = np.zeros(len(at), bool)
-            again[order] = owner[order] > np.repeat(least, np.diff(np.append(groups, len(order))))
-            hit = np.flatnonzero(again)
-            if not len(hit):
+            again = _again(text, doc, starts, begin, count)
+            head = np.zeros(len(again) + 1, bool)
+            head[begin] = head[-1] = True
+            low = np.flatnonzero(again & (head[:-1] | ~np.append(False, again[:-1])))
+            high = np.flatnonzero(again & (head[1:] | ~np.append(again[1:], False)))
+            if not len(low):
                 continue
-            cut = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (within[hit[1:]] == 0)])
-            low = hit[np.flatnonzero(cut)]
-            high = hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1]
             piece = np.searchsorted(begin, low, "right") - 1
-            doc = doc[piece]
-            first, last = place[piece] + within[low], place[piece] + within[high] + LENGTH
+            doc, shift = doc[piece], place[piece] - begin[piece]
+            first, last = low + shift, high + shift + LENGTH
         order = np.lexsort((first, doc))
         doc, first, last = doc[order], first[order], last[order]
         # Ranges of a document that touch become one.
