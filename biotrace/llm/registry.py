@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biotrace.llm import statements
+from biotrace.llm.angular_negatives import hard_negatives
 from biotrace.llm.common import ship_package
 from biotrace.llm.crf_langid import identify, is_held_out, train
 from biotrace.llm.decontaminate import find_contamination
 from biotrace.llm.html_extract import extract_pages
+from biotrace.llm.iblt_fingerprint import document_fingerprints
 from biotrace.llm.minhash_bbit import near_duplicates
 from biotrace.llm.multi_index import near_vectors
 from biotrace.llm.nnls_packing import pack
@@ -18,6 +21,7 @@ from biotrace.llm.pii import personal_data_report
 from biotrace.llm.quote_threads import reply_threads
 from biotrace.llm.suffix_dedup import remove_repeats
 from biotrace.llm.token_shards import materialized_order
+from biotrace.llm.va_file import cluster_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +75,20 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_fingerprints(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extract": op2_html_extract,
@@ -82,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": op8_token_shards,
     "op9_crf_langid": op9_crf_langid,
     "op10_nnls_packing": op10_nnls_packing,
+    "op11_iblt_fingerprint": op11_iblt_fingerprint,
+    "op12_angular_negatives": op12_angular_negatives,
+    "op13_va_file": op13_va_file,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = statements.SQL

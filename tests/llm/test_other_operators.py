@@ -15,7 +15,7 @@ SF_DIR = f"{TESTDATA}/sf0.001"
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
 
 
