@@ -274,7 +274,13 @@ QUERIES: dict[str, Query] = {
     "age_of_sql": _sql_query(
         f"SELECT patientid, age_in_years(dob, DATE'{AS_OF}') AS age FROM demographics"
     ),
-    "retrieve_age_sql": _sql_query(
-        f"SELECT 5 AS patientid, retrieve_age(5, DATE'{AS_OF}') AS age"
+    "retrieve_age_sql": _sql_query(f"SELECT * FROM retrieve_age(5, DATE'{AS_OF}')"),
+    "ages_at_meals_sql": _sql_query(
+        """SELECT patientid, day, retrieve_age(patientid, day) AS age
+        FROM (SELECT DISTINCT patientid, to_date(datetime) AS day FROM foodlog)"""
+    ),
+    "min_glucose_by_day_sql": _sql_query(
+        """SELECT day, patient_id, min_glucose
+        FROM (SELECT DISTINCT datestamp AS day FROM eda), LATERAL retrieve_min_glucose(day)"""
     ),
 }

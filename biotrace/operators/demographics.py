@@ -88,16 +88,21 @@ def age_decades(t: Tables, as_of: AsOf = None) -> DataFrame:
     )
 
 
+# Labels by the age that closes them; all others get the last one.
+AGE_RANGES = {"20-30": 30, "30-40": 40, "40-50": 50, "50-60": 60, "60-70": 70}
+OTHER_AGES = "71+"
+
+
 def age_ranges(t: Tables, as_of: AsOf = None) -> DataFrame:
     """Patients per labelled range; a birthday belongs to the range it closes.
 
     Ages under 20 end up under the last label, as they match no range.
     """
-    label = F.when(age_years("dob", as_of) < 20, "71+")
-    for low in (20, 30, 40, 50, 60):
-        label = label.when(age_at_most("dob", low + 10, as_of), f"{low}-{low + 10}")
+    label = F.when(age_years("dob", as_of) < 20, OTHER_AGES)
+    for name, oldest in AGE_RANGES.items():
+        label = label.when(age_at_most("dob", oldest, as_of), name)
     return (
-        t.demographics.groupBy(label.otherwise("71+").alias("age_range"))
+        t.demographics.groupBy(label.otherwise(OTHER_AGES).alias("age_range"))
         .agg(F.count("*").alias("patients"))
         .orderBy("age_range")
     )

@@ -111,3 +111,42 @@ def test_storing_a_daily_report_needs_no_sort(stored):
     assert "rangepartitioning" in plan_of(nutrition.daily_calories(stored[0]))
     plan = plan_of(nutrition.daily_calories(stored[0], ordered=False))
     assert len(re.findall("Exchange", plan)) == 1
+
+
+@pytest.fixture()
+def lookups(spark, stored):
+    """Lookup functions over stored tables, with no broadcasts."""
+    from biotrace.functions.sql_functions import register_sql_functions
+
+    stored[0].register_views()
+    register_sql_functions(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark.sql
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lookups_of_one_key_filter_the_scan(lookups):
+    plan = plan_of(lookups("SELECT * FROM retrieve_age(5, DATE'2024-02-01')"))
+    assert "PushedFilters: [IsNotNull(patientid), EqualTo(patientid,5)]" in plan
+    assert "Aggregate" not in plan
+    plan = plan_of(lookups("SELECT * FROM retrieve_min_glucose(DATE'2024-01-13')"))
+    assert "GreaterThanOrEqual(datestamp,2024-01-13T00:00)" in plan
+    assert "LessThan(datestamp,2024-01" in plan
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT id, retrieve_age(id, date_add(DATE'2020-01-01', CAST(id % 1500 AS INT))) FROM range(10000)",
+        "SELECT id, age FROM range(10000), LATERAL retrieve_age(id, DATE'2024-02-01')",
+        "SELECT id, age FROM range(10000) LEFT JOIN LATERAL retrieve_age(id, DATE'2024-02-01')",
+        """SELECT id, m.* FROM (SELECT id, date_add(DATE'2020-01-01', CAST(id AS INT)) AS day FROM range(10000)),
+        LATERAL retrieve_min_glucose(day) m""",
+    ],
+)
+def test_lookups_of_many_keys_are_joins(lookups, sql):
+    plan = plan_of(lookups(sql))
+    assert "NestedLoop" not in plan
+    assert "Cartesian" not in plan
+    assert len(re.findall("SortMergeJoin", plan)) == 1
