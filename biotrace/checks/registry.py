@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +22,9 @@ from biotrace.operators import (
     series,
 )
 from biotrace.schema import Tables
+from biotrace.session import new_folder
 from biotrace.sources.fixtures import driver_schema, fixture_tables, foodlog
+from biotrace.sources.signal_store import SignalStore
 from biotrace.sources.quality import duplicate_keys, orphan_rows
 from biotrace.sources.sinks import with_rows_appended
 from biotrace.streaming.alerts import start_sugar_stream, sugar_alerts
@@ -239,22 +239,13 @@ def _sql_query(sql: str) -> Query:
     return run
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which is set here where a test has none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='biotrace-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _sugar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the meal stream to its end, in several micro-batches, and return the warnings."""
 
     def scan(name: str) -> DataFrame:
         return spark.read.schema(driver_schema(name)).parquet(f"{sf_dir}/{name}.parquet")
 
-    folder = _new_folder(spark, "sugar-stream")
+    folder = new_folder(spark, "sugar-stream")
     # The table is one file or folder; the stream reads it in parts.
     scan("lineitem").repartition(4).write.parquet(f"{folder}/lineitem")
     lines = (
@@ -267,9 +258,46 @@ def _sugar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(spark.read.parquet(f"{folder}/alerts").drop("query", "batch"))
 
 
+# Sensor files that Spark writes: a folder per wristband and sensor.
+_FILES = (r"/patient=(?<patient>\d+)/sensor=(?<sensor>[a-z]+)/[^/]*$",)
+_WRISTBANDS = 8
+
+
+def _sensor_store(spark: SparkSession, sf_dir: str) -> SignalStore:
+    """Events as sensor files that arrive in two lots, some lines broken, taken in by two runs."""
+    folder = new_folder(spark, "sensor-files")
+    events = spark.read.schema(driver_schema("events")).parquet(f"{sf_dir}/events.parquet")
+    value = F.when(F.col("event_id") % 50 == 3, "n/a").otherwise(F.col("value").cast("string"))
+    lines = events.select(
+        (F.col("user_id") % _WRISTBANDS).alias("patient"),
+        F.col("event_type").alias("sensor"),
+        (F.col("event_id") % 3 == 0).alias("late"),
+        F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), value).alias("line"),
+    )
+    store = SignalStore(spark, f"{folder}/store", _FILES)
+    for lot in (False, True):
+        arriving = lines.where(F.col("late") == lot).drop("late").repartition("patient", "sensor")
+        arriving.write.mode("append").partitionBy("patient", "sensor").text(f"{folder}/raw")
+        store.take_in(f"{folder}/raw", f"lot-{lot}", most_faulty=0.05)
+    return store
+
+
+def _signal_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(_sensor_store(spark, sf_dir).daily())
+
+
+def _signal_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faulty lines per sensor, and their texts."""
+    sensor = F.upper(F.regexp_extract("file", r"/sensor=([a-z]+)/", 1))
+    found = _sensor_store(spark, sf_dir).quarantine()
+    return found.select(sensor.alias("sensor"), "fault", "text")
+
+
 QUERIES: dict[str, Query] = {
     **{name: _job_query(job) for name, job in JOBS.items()},
     "sugar_alerts_stream": _sugar_stream,
+    "signal_days": _signal_days,
+    "signal_faults": _signal_faults,
     "min_glucose_on_sql": _sql_query("SELECT * FROM retrieve_min_glucose(DATE'2024-01-13')"),
     "age_of_sql": _sql_query(
         f"SELECT patientid, age_in_years(dob, DATE'{AS_OF}') AS age FROM demographics"

@@ -16,11 +16,15 @@ def group_profile(df: DataFrame, keys: list[str], value: str, width: float = 1.0
     hold the middle of a group, and only these are put in order. No task ever
     holds all values of a group.
     """
-    counted = (
-        df.groupBy(*keys, value)
-        .agg(F.count(value).alias("copies"))
-        .withColumn("bucket", F.floor(F.col(value) / width))
-    )
+    counted = df.groupBy(*keys, value).agg(F.count(value).alias("copies"))
+    return profile_of_counts(counted, keys, value, width)
+
+
+def profile_of_counts(
+    counts: DataFrame, keys: list[str], value: str, width: float = 1.0
+) -> DataFrame:
+    """The same from rows of a value and its number of ``copies`` in a group."""
+    counted = counts.withColumn("bucket", F.floor(F.col(value) / width))
     group = Window.partitionBy(*keys)
     upto = group.orderBy(F.asc_nulls_first("bucket")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

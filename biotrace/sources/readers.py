@@ -71,7 +71,7 @@ def read_signal(spark: SparkSession, path: str) -> DataFrame:
 PATHS = (r"(?i)/(?<patient>\d+)/(?<sensor>[a-z]+)\.csv[^/]*$", r"(?i)/(?<sensor>[a-z]+)_(?<patient>\d+)\.csv[^/]*$")
 
 
-def _group(path: Column, name: str, patterns: tuple[str, ...]) -> Column:
+def path_group(path: Column, name: str, patterns: tuple[str, ...]) -> Column:
     """What a named group of the first pattern that matches the path holds, or null."""
     choices = []
     for pattern in patterns:
@@ -91,10 +91,10 @@ def read_signal_csv(spark: SparkSession, path: str, patterns: tuple[str, ...] =
     raw = spark.read.schema(struct(ts=TIME, value=REAL)).csv(path, header=True, mode="FAILFAST")
     file = F.col("_metadata.file_path")
     unknown = F.raise_error(F.concat(F.lit("no patient and sensor in the path "), file))
-    patient = F.coalesce(_group(file, "patient", patterns), unknown.cast("string"))
+    patient = F.coalesce(path_group(file, "patient", patterns), unknown.cast("string"))
     return raw.select(
         patient.cast(LONG).alias("patientid"),
-        F.upper(_group(file, "sensor", patterns)).alias("sensor"),
+        F.upper(path_group(file, "sensor", patterns)).alias("sensor"),
         "ts",
         F.lit(0).cast(LONG).alias("seq"),
         "value",
