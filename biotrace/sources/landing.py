@@ -2,7 +2,7 @@
 
 A line becomes a sample or gets a fault: ``path`` (the file tells no patient and sensor),
 ``columns`` (not a time and a value), ``time`` or ``value`` (not one, or not finite). A first
-line with a fault is the header. Blank lines are passed over.
+line without a time is the header. Blank lines are passed over.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def line_numbers(faulty: DataFrame, paths: str | list[str]) -> DataFrame:
     return (
         faulty.join(starts, ["file", "piece"])
         .select("file", line.alias("line"), "fault", "text")
-        .where((F.col("line") > 1) | (F.col("fault") == "path"))
+        .where((F.col("line") > 1) | F.col("fault").isin("path", "value"))
     )
 
 
