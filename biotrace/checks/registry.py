@@ -28,6 +28,7 @@ from biotrace.sources.signal_store import SignalStore
 from biotrace.sources.quality import duplicate_keys, orphan_rows
 from biotrace.sources.sinks import with_rows_appended
 from biotrace.streaming.alerts import start_sugar_stream, sugar_alerts
+from biotrace.streaming.beats import latest_ibi, start_beat_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 Job = Callable[..., DataFrame]
@@ -258,6 +259,18 @@ def _sugar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(spark.read.parquet(f"{folder}/alerts").drop("query", "batch"))
 
 
+def _beat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats that arrive in shuffled lots; the table after the last one."""
+    folder = new_folder(spark, "beat-stream")
+    beats = fixture_tables(spark, sf_dir).patient_signal
+    beats.repartition(4, F.xxhash64("seq")).write.parquet(f"{folder}/arriving")
+    arriving = (
+        spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/arriving")
+    )
+    start_beat_stream(arriving, folder, gap_seconds=21600).awaitTermination()
+    return comparable(latest_ibi(spark, folder).drop("day", "steps"))
+
+
 # Sensor files that Spark writes: a folder per wristband and sensor.
 _FILES = (r"/patient=(?<patient>\d+)/sensor=(?<sensor>[a-z]+)/[^/]*$",)
 _WRISTBANDS = 8
@@ -296,6 +309,7 @@ def _signal_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     **{name: _job_query(job) for name, job in JOBS.items()},
     "sugar_alerts_stream": _sugar_stream,
+    "ibi_from_late_beats": _beat_stream,
     "signal_days": _signal_days,
     "signal_faults": _signal_faults,
     "min_glucose_on_sql": _sql_query("SELECT * FROM retrieve_min_glucose(DATE'2024-01-13')"),

@@ -59,20 +59,28 @@ def _slot(seconds: float) -> Column:
     return F.floor(epoch_seconds("ts") / seconds)
 
 
-def ibi_runs(raw: DataFrame, gap_seconds: float = 3600) -> DataFrame:
-    """Runs of samples within a day that no gap above ``gap_seconds`` interrupts.
+def gap_slots(raw: DataFrame, gap_seconds: float = 3600) -> DataFrame:
+    """First and last time and number of samples per slot of the gap's length.
 
-    Samples shrink to first and last time per slot of the gap's length. Inside
-    such a slot no gap can be longer than allowed, so runs can only break
-    between slots, and a day has at most ``86400 / gap_seconds`` of them.
+    Slot rows of several lots of samples merge into those of all: ``merged_slots``.
     """
-    slots = (
+    return (
         _with_day(raw)
         .groupBy(*_DAY, _slot(gap_seconds).alias("slot"))
         .agg(
             F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("samples")
         )
     )
+
+
+def merged_slots(slots: DataFrame) -> DataFrame:
+    return slots.groupBy(*_DAY, "slot").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("samples").alias("samples")
+    )
+
+
+def runs_of_slots(slots: DataFrame, gap_seconds: float = 3600) -> DataFrame:
+    """Runs that no gap above ``gap_seconds`` interrupts, from the slots of that length."""
     ordered = Window.partitionBy(*_DAY).orderBy("slot")
     pause = seconds_between(F.lag("last").over(ordered), "first")
     return (
@@ -87,32 +95,43 @@ def ibi_runs(raw: DataFrame, gap_seconds: float = 3600) -> DataFrame:
     )
 
 
-def kept_window(
-    raw: DataFrame, gap_seconds: float = 3600, minutes: int = 30
-) -> DataFrame:
+def ibi_runs(raw: DataFrame, gap_seconds: float = 3600) -> DataFrame:
+    """Runs of samples within a day that no gap above ``gap_seconds`` interrupts.
+
+    Samples shrink to first and last time per slot of the gap's length. Inside
+    such a slot no gap can be longer than allowed, so runs can only break
+    between slots, and a day has at most ``86400 / gap_seconds`` of them.
+    """
+    return runs_of_slots(gap_slots(raw, gap_seconds), gap_seconds)
+
+
+def window_of_runs(runs: DataFrame, minutes: int = 30) -> DataFrame:
     """Start and end of the minutes kept per series and day.
 
     They open the earliest run that lasts at least that long.
     """
     length = F.make_dt_interval(mins=F.lit(minutes))
     return (
-        ibi_runs(raw, gap_seconds)
-        .where(seconds_between("run_start", "run_end") >= minutes * 60)
+        runs.where(seconds_between("run_start", "run_end") >= minutes * 60)
         .groupBy(*_DAY)
         .agg(F.min("run_start").alias("kept_from"))
         .withColumn("kept_to", F.col("kept_from") + length)
     )
 
 
-def kept_samples(
-    raw: DataFrame, gap_seconds: float = 3600, minutes: int = 30, slot_seconds: float = 60
+def kept_window(
+    raw: DataFrame, gap_seconds: float = 3600, minutes: int = 30
 ) -> DataFrame:
-    """Samples inside the kept minutes, both ends included, with their slot.
+    """The window of ``window_of_runs`` from samples."""
+    return window_of_runs(ibi_runs(raw, gap_seconds), minutes)
+
+
+def samples_in(raw: DataFrame, window: DataFrame, slot_seconds: float = 60) -> DataFrame:
+    """Samples inside a window per series and day, both ends included, with their slot.
 
     The window is spread over its few slots and joined on series, day and slot: the
     samples of a hot day lie in many slots, and most find no partner.
     """
-    window = kept_window(raw, gap_seconds, minutes)
     first, last = (
         F.floor(epoch_seconds(c) / slot_seconds) for c in ("kept_from", "kept_to")
     )
@@ -126,15 +145,26 @@ def kept_samples(
     )
 
 
+def kept_samples(
+    raw: DataFrame, gap_seconds: float = 3600, minutes: int = 30, slot_seconds: float = 60
+) -> DataFrame:
+    """Samples inside the kept minutes, both ends included, with their slot."""
+    return samples_in(raw, kept_window(raw, gap_seconds, minutes), slot_seconds)
+
+
 def rmssd_daily(
     raw: DataFrame, gap_seconds: float = 3600, minutes: int = 30, slot_seconds: float = 60
 ) -> DataFrame:
-    """Root mean square of successive differences over the kept minutes, and their mean.
+    """Root mean square of successive differences over the kept minutes, and their mean."""
+    return rmssd_of(kept_samples(raw, gap_seconds, minutes, slot_seconds))
+
+
+def rmssd_of(kept: DataFrame) -> DataFrame:
+    """The same from kept samples with their slot.
 
     Differences are taken inside short slots; a slot also hands on its first and
     last value, which give the difference across each border.
     """
-    kept = kept_samples(raw, gap_seconds, minutes, slot_seconds)
     inside = Window.partitionBy(*_DAY, "slot").orderBy("ts", "seq", "value")
     step = F.col("value") - F.lag("value").over(inside)
     slots = (

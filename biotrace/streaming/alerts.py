@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from biotrace.streaming.checkpoints import filled, query_id
+
 ALERT_COLUMNS = ("patientid", "logged_food", "sugar", "message")
 
 
@@ -30,21 +30,6 @@ def sugar_alerts(foodlog: DataFrame, above: float = 20) -> DataFrame:
     )
 
 
-def _query_id(spark: SparkSession, checkpoint: str) -> str | None:
-    """The id that Spark keeps in a checkpoint; None for one that was never used."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint, "metadata")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return None
-    return json.loads(spark.read.text(path.toString()).first()[0])["id"]
-
-
-def _filled(spark: SparkSession, folder: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.exists(path) and len(files.listStatus(path)) > 0
-
-
 def start_sugar_stream(
     foodlog: DataFrame,
     folder: str,
@@ -64,11 +49,11 @@ def start_sugar_stream(
     foodlog_path, alerts_path, checkpoint = (
         f"{folder.rstrip('/')}/{name}" for name in ("foodlog", "alerts", "checkpoint")
     )
-    if _query_id(spark, checkpoint) is None and _filled(spark, foodlog_path):
+    if query_id(spark, checkpoint) is None and filled(spark, foodlog_path):
         raise ValueError(f"{foodlog_path} holds meals but {checkpoint} is new")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        place = f"query={_query_id(batch.sparkSession, checkpoint)}/batch={batch_id}"
+        place = f"query={query_id(batch.sparkSession, checkpoint)}/batch={batch_id}"
         stored = f"{foodlog_path}/{place}"
         batch.write.mode("overwrite").parquet(stored)
         # The warnings read what was stored, so the batch is computed only once.
