@@ -18,15 +18,18 @@ from biotrace.operators import (
     glucose,
     nutrition,
     overview,
+    quantiles,
     rollups,
     series,
 )
 from biotrace.schema import Tables
 from biotrace.session import new_folder
 from biotrace.sources.fixtures import driver_schema, fixture_tables, foodlog
-from biotrace.sources.signal_store import SignalStore
+from biotrace.sources.maintained import MaintainedViews
 from biotrace.sources.quality import duplicate_keys, orphan_rows
-from biotrace.sources.sinks import with_rows_appended
+from biotrace.sources.readers import read_table
+from biotrace.sources.signal_store import SignalStore
+from biotrace.sources.sinks import append_rows, backfill, with_rows_appended, write_run
 from biotrace.streaming.alerts import start_sugar_stream, sugar_alerts
 from biotrace.streaming.beats import latest_ibi, start_beat_stream
 
@@ -92,6 +95,18 @@ def _orphan_days(t: Tables) -> DataFrame:
     return orphan_rows(child, parent, "patientid", "day").select(*child.columns)
 
 
+def _week_quantiles(t: Tables, rank_error: float = 0.01) -> DataFrame:
+    """Quantiles of weeks from merged sketches of days, and whether each is within its bound."""
+    week = F.date_trunc("week", "day").cast("date").alias("week")
+    days = quantiles.daily_sketches(t.raw_signal, rank_error)
+    weeks = quantiles.merged_sketches(days, "series", week, rank_error=rank_error)
+    answers = quantiles.quantiles(weeks, 0.05, 0.25, 0.5, 0.75, 0.95)
+    raw = t.raw_signal.withColumn("day", F.to_date("ts")).select("series", week, "value")
+    errors = quantiles.rank_errors(raw, answers, "series", "week")
+    within = (F.col("rank_error") <= rank_error).alias("within_bound")
+    return errors.select("series", "week", "share", "samples", within)
+
+
 JOBS: dict[str, Job] = {
     "egv_above": glucose.egv_above,
     "protein_patients": nutrition.protein_patients,
@@ -213,6 +228,7 @@ JOBS: dict[str, Job] = {
     "hr_daily_high_dates": _with(cardio.hr_daily_high, true_date=True),
     "fiber_share_dates": _with(nutrition.fiber_share, true_date=True),
     "fiber_days": nutrition.fiber_days,
+    "signal_week_quantiles": _week_quantiles,
     "eda_from_raw": lambda t: rollups.eda_from_raw(t.patient_signal),
     "hr_from_raw": lambda t: rollups.hr_from_raw(t.patient_signal),
     # A patient has few events a day, so a run may pause for longer.
@@ -306,10 +322,58 @@ def _signal_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(sensor.alias("sensor"), "fault", "text")
 
 
+def _twice_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after an append that was repeated."""
+    folder = new_folder(spark, "foodlog")
+    foodlog = fixture_tables(spark, sf_dir).foodlog
+    write_run(foodlog, folder, "first")
+    pie = spark.sql("SELECT 1 AS patientid, 'pie' AS logged_food, 32 AS sugar")
+    for _ in range(2):
+        append_rows(pie, foodlog, folder, run="pie")
+    return comparable(read_table(spark, folder, "foodlog"))
+
+
+def _backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IBI stored by month without a date, and with one from the second month half on."""
+    folder = new_folder(spark, "ibi")
+    ibi = fixture_tables(spark, sf_dir).ibi
+    month = F.date_trunc("month", "datestamp").cast("date").alias("month")
+    old = ibi.where(F.dayofmonth("datestamp") < 16).select("*", month)
+    dated = ibi.where(F.dayofmonth("datestamp") >= 16).select("*", F.to_date("datestamp").alias("datepart"), month)
+    old.write.partitionBy("month").parquet(folder)
+    dated.write.mode("append").partitionBy("month").parquet(folder)
+    backfill(spark, folder, old.schema, "datepart", F.to_date("datestamp"), "month")
+    return comparable(spark.read.schema(dated.schema).parquet(folder).drop("month"))
+
+
+def _kept_view(name: str) -> Query:
+    """A view of the catalog over the partials of two runs; the second brings late rows of every day."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = fixture_tables(spark, sf_dir)
+        views = MaintainedViews(spark, new_folder(spark, "views"))
+        for late in (False, True):
+
+            def part(table: str, late: bool = late) -> DataFrame:
+                rows = getattr(tables, table)
+                return rows.where((F.pmod(F.xxhash64(*rows.columns), F.lit(3)) == 0) == late)
+
+            lots = {table: part(table) for table in ("dexcom", "eda", "hr", "ibi", "demographics")}
+            views.take_in(Tables(**lots), f"lot-{late}")
+        views.create("kept_")
+        return comparable(spark.table(f"kept_{name}"))
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     **{name: _job_query(job) for name, job in JOBS.items()},
     "sugar_alerts_stream": _sugar_stream,
     "ibi_from_late_beats": _beat_stream,
+    "foodlog_append_twice": _twice_appended,
+    "ibi_backfilled": _backfilled,
+    "demo_stored": _kept_view("demo"),
+    "patient_overview_stored": _kept_view("patient_overview"),
     "signal_days": _signal_days,
     "signal_faults": _signal_faults,
     "min_glucose_on_sql": _sql_query("SELECT * FROM retrieve_min_glucose(DATE'2024-01-13')"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from biotrace.operators.glucose import glucose_daily, glucose_summary
 from biotrace.operators.overview import patient_overview, patient_overview_daily
@@ -38,9 +40,67 @@ def with_rows_appended(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.unionByName(rows.select(_cast_to(df, rows)), allowMissingColumns=True)
 
 
-def append_rows(rows: DataFrame, like: DataFrame, path: str) -> None:
-    """Append rows with some of the columns to a stored table."""
-    with_rows_appended(like.limit(0), rows).write.mode("append").parquet(path)
+RUN = "run"
+
+
+def write_run(df: DataFrame, path: str, run: str) -> None:
+    """Store rows under a run's key; the same key again replaces them, so a retry doubles nothing."""
+    _dynamic(df.withColumn(RUN, F.lit(run)), path, RUN)
+
+
+def append_rows(rows: DataFrame, like: DataFrame, path: str, run: str | None = None) -> None:
+    """Append rows with some of the columns to a stored table.
+
+    With a run's key the append can be repeated: the table's rows must all be stored by run
+    (``write_run``). Without one, a repeated append stores its rows again.
+    """
+    appended = with_rows_appended(like.limit(0), rows)
+    if run is None:
+        appended.write.mode("append").parquet(path)
+        return
+    stored = rows.sparkSession.read.parquet(path).columns
+    if RUN not in stored:
+        raise ValueError(f"{path} is not stored by run")
+    write_run(appended, path, run)
+
+
+def _dynamic(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Replace the partitions that occur in the rows, and leave the others as they are."""
+    (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
+
+
+def backfill(
+    spark: SparkSession, path: str, schema: T.StructType, column: str, value: Column, *partition_by: str
+) -> int:
+    """Fill a column of a stored table where it is NULL or its files lack it.
+
+    Only partitions with a row in need are read and written anew; how many there were. A
+    repeated backfill finds nothing to do. ``schema`` names the stored columns, those of the
+    partitions last.
+    """
+    stored = spark.read.schema(_with(schema, column, value, spark)).parquet(path)
+    needy = stored.where(F.col(column).isNull() & value.isNotNull()).select(*partition_by).distinct()
+    count = needy.count()
+    if count:
+        # A NULL partition is one of its own.
+        same = [stored[key].eqNullSafe(needy[key]) for key in partition_by]
+        rows = stored.join(needy, reduce(Column.__and__, same), "left_semi")
+        filled = rows.withColumn(column, F.coalesce(F.col(column), value))
+        order = [c for c in filled.columns if c not in partition_by]
+        _dynamic(filled.select(*order, *partition_by), path, *partition_by)
+    return count
+
+
+def _with(schema: T.StructType, column: str, value: Column, spark: SparkSession) -> T.StructType:
+    if column in schema.names:
+        return schema
+    kind = spark.createDataFrame([], schema).select(value.alias(column)).schema[0].dataType
+    return T.StructType([T.StructField(column, kind), *schema.fields])
 
 
 def _cast_to(df: DataFrame, rows: DataFrame) -> list[Column]:

@@ -14,7 +14,16 @@ from biotrace.sources.fixtures import fixture_tables
 from biotrace.sources.sinks import write_table
 
 SF_DIR = f"{TESTDATA}/sf0.001"
-EAGER = {"sugar_alerts_stream", "ibi_from_late_beats", "signal_days", "signal_faults"}
+EAGER = {
+    "sugar_alerts_stream",
+    "ibi_from_late_beats",
+    "signal_days",
+    "signal_faults",
+    "foodlog_append_twice",
+    "ibi_backfilled",
+    "demo_stored",
+    "patient_overview_stored",
+}
 
 
 def plan_of(df, final: bool = False) -> str:
