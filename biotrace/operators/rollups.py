@@ -19,11 +19,11 @@ def _with_day(raw: DataFrame) -> DataFrame:
     return raw.withColumn("day", F.to_date("ts"))
 
 
-def daily_signal_rollup(raw: DataFrame, width: float = 1.0) -> DataFrame:
+def daily_signal_rollup(raw: DataFrame, width: float | None = None) -> DataFrame:
     """Median, lowest, highest and mean value per series and day.
 
-    The median is exact. ``width`` is the size of the value buckets that locate
-    it, best near the spread of a signal over a thousand.
+    The median is exact. It is located by buckets of about equally many values, or
+    of a fixed ``width``.
     """
     return group_profile(_with_day(raw), _DAY, "value", width)
 
@@ -248,7 +248,7 @@ def ibi_from_raw(samples: DataFrame, gap_seconds: float = 3600, minutes: int = 3
     )
 
 
-def bvp_from_raw(samples: DataFrame, width: float = 1.0) -> DataFrame:
+def bvp_from_raw(samples: DataFrame, width: float | None = None) -> DataFrame:
     """Lowest, median and highest blood volume pulse per patient and day."""
     return daily_signal_rollup(_as_series(samples), width).select(
         F.col("series").alias("patientid"),

@@ -7,24 +7,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biotrace.plans.reuse import shareable
+from biotrace.plans.splits import with_buckets
 
-def group_profile(df: DataFrame, keys: list[str], value: str, width: float = 1.0) -> DataFrame:
+
+def group_profile(df: DataFrame, keys: list[str], value: str, width: float | None = None) -> DataFrame:
     """Exact median with lowest, highest and mean value per group.
 
     Samples first shrink to distinct values with counts, in the only shuffle of
-    raw rows. Counts per bucket of ``width`` then tell which one or two buckets
-    hold the middle of a group, and only these are put in order. No task ever
-    holds all values of a group.
+    raw rows. Counts per bucket then tell which one or two buckets hold the middle
+    of a group, and only these are put in order. No task ever holds all values of a
+    group. Buckets hold about equally many values, or are ``width`` wide where that
+    is given.
     """
     counted = df.groupBy(*keys, value).agg(F.count(value).alias("copies"))
     return profile_of_counts(counted, keys, value, width)
 
 
 def profile_of_counts(
-    counts: DataFrame, keys: list[str], value: str, width: float = 1.0
+    counts: DataFrame, keys: list[str], value: str, width: float | None = None
 ) -> DataFrame:
     """The same from rows of a value and its number of ``copies`` in a group."""
-    counted = counts.withColumn("bucket", F.floor(F.col(value) / width))
+    counted = with_buckets(shareable(counts), value, width)
     group = Window.partitionBy(*keys)
     upto = group.orderBy(F.asc_nulls_first("bucket")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

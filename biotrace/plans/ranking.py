@@ -1,10 +1,10 @@
 """Ranks and row numbers over a whole table or a hot key.
 
 A window without a partition, or over one hot patient, sorts everything in a
-single task. Here the order column is cut into buckets of a fixed width. Each
-bucket is ordered on its own, and a small table of bucket totals supplies what
-lies before it. A bucket number is a function of the value alone, so both
-branches of the plan agree in every run and after a lost executor.
+single task. Here the order column is cut into buckets. Each bucket is ordered on
+its own, and a small table of bucket totals supplies what lies before it. A bucket
+number is a function of the value and of one set of split points, so both branches
+of the plan agree in every run and after a lost executor.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biotrace.plans.reuse import shareable
+from biotrace.plans.splits import with_buckets
 
 
 def _total_before(window: Window, column: str) -> Column:
@@ -21,20 +22,21 @@ def _total_before(window: Window, column: str) -> Column:
 
 
 def value_ranks(
-    df: DataFrame, measure: str, *, descending: bool = True, dense: bool = False, width: float = 1.0
+    df: DataFrame,
+    measure: str,
+    *,
+    descending: bool = True,
+    dense: bool = False,
+    width: float | None = None,
 ) -> DataFrame:
     """``(measure, value_rank)`` for each distinct non-NULL value of the table.
 
     The rows shrink to distinct values with their counts before anything is
-    ordered. ``width`` is the bucket size in units of the measure; the only
-    unpartitioned window sees one row per bucket.
+    ordered. Buckets hold about equally many of them, or are ``width`` wide where
+    that is given; the only unpartitioned window sees one row per bucket.
     """
-    counted = (
-        df.where(F.col(measure).isNotNull())
-        .groupBy(measure)
-        .agg(F.count("*").alias("copies"))
-        .withColumn("bucket", F.floor(F.col(measure) / width))
-    )
+    counted = df.where(F.col(measure).isNotNull()).groupBy(measure).agg(F.count("*").alias("copies"))
+    counted = with_buckets(shareable(counted), measure, width)
     weight = F.lit(1) if dense else F.col("copies")
     counted = counted.select(measure, "bucket", weight.alias("weight"))
 

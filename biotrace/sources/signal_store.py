@@ -54,7 +54,7 @@ def merged(counts: DataFrame) -> DataFrame:
     return counts.groupBy(*_GROUP, "value").agg(F.sum("copies").alias("copies"))
 
 
-def daily_profile(counts: DataFrame, width: float = 1.0) -> DataFrame:
+def daily_profile(counts: DataFrame, width: float | None = None) -> DataFrame:
     """Number, lowest, median, highest and mean value per patient, sensor and day."""
     sizes = counts.groupBy(*_GROUP).agg(F.sum("copies").alias("samples"))
     return profile_of_counts(counts, _GROUP, "value", width).join(sizes, _GROUP).select(*_DAILY.names)
@@ -63,7 +63,7 @@ def daily_profile(counts: DataFrame, width: float = 1.0) -> DataFrame:
 class SignalStore:
     """A store below ``root``; ``patterns`` tell patient and sensor from a file's path."""
 
-    def __init__(self, spark: SparkSession, root: str, patterns: tuple[str, ...] = PATHS, width: float = 1.0):
+    def __init__(self, spark: SparkSession, root: str, patterns: tuple[str, ...] = PATHS, width: float | None = None):
         self.spark, self.root, self.patterns, self.width = spark, root.rstrip("/"), patterns, width
 
     def _read(self, name: str, schema) -> DataFrame:
