@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Buckets are a power of two, so that a search halves them.
 LEVELS = 10
@@ -25,7 +26,11 @@ def with_buckets(df: DataFrame, value: str, width: float | None = None, levels:
         return df.withColumn("bucket", F.floor(F.col(value) / width))
     parts = 2**levels
     shares = [k / parts for k in range(1, parts)]
-    points = df.agg(F.percentile_approx(value, shares, 10 * parts).alias("points")).scalar()
+    summed = F.col(value)
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        # A summary has no order for NaN; what is not finite goes to the outer buckets.
+        summed = F.when(F.abs(value) < float("inf"), summed)
+    points = df.agg(F.percentile_approx(summed, shares, 10 * parts).alias("points")).scalar()
 
     def halve(found: Column, step: Column) -> Column:
         return F.when(F.col(value) >= F.col("points")[found + step - 1], found + step).otherwise(found)
