@@ -22,14 +22,15 @@ from biotrace.operators import (
     rollups,
     series,
 )
-from biotrace.schema import Tables
+from biotrace.plans.membership import rows_missing_in
+from biotrace.schema import SCHEMAS, Tables
 from biotrace.session import new_folder
 from biotrace.sources.fixtures import driver_schema, fixture_tables, foodlog
 from biotrace.sources.maintained import MaintainedViews
 from biotrace.sources.quality import duplicate_keys, orphan_rows
 from biotrace.sources.readers import read_table
 from biotrace.sources.signal_store import SignalStore
-from biotrace.sources.sinks import append_rows, backfill, with_rows_appended, write_run
+from biotrace.sources.sinks import append_rows, backfill, save_bucketed, with_rows_appended, write_run
 from biotrace.streaming.alerts import start_sugar_stream, sugar_alerts
 from biotrace.streaming.beats import latest_ibi, start_beat_stream
 
@@ -107,6 +108,13 @@ def _week_quantiles(t: Tables, rank_error: float = 0.01) -> DataFrame:
     return errors.select("series", "week", "share", "samples", within)
 
 
+def _orphan_days_filtered(t: Tables) -> DataFrame:
+    child = t.ibi.withColumn("day", F.to_date("datestamp"))
+    parent = t.eda.withColumn("day", F.to_date("datestamp"))
+    found = rows_missing_in(child, parent, "patientid", "day", bits=2**17)
+    return found.select(*child.columns)
+
+
 JOBS: dict[str, Job] = {
     "egv_above": glucose.egv_above,
     "protein_patients": nutrition.protein_patients,
@@ -238,6 +246,7 @@ JOBS: dict[str, Job] = {
     "foodlog_append": _foodlog_append,
     "duplicate_keys": lambda t: duplicate_keys(t.foodlog, "patientid", "datetime"),
     "orphan_rows": _orphan_days,
+    "orphan_rows_filtered": _orphan_days_filtered,
 }
 
 
@@ -346,6 +355,14 @@ def _backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(spark.read.schema(dated.schema).parquet(folder).drop("month"))
 
 
+def _bucketed_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview of tables that are stored by patient."""
+    tables = fixture_tables(spark, sf_dir)
+    stored = Tables(**{name: getattr(tables, name) for name in SCHEMAS})
+    save_bucketed(stored, 8, "bucketed_", new_folder(spark, "bucketed"))
+    return comparable(overview.patient_overview(Tables.from_catalog(spark, "bucketed_")))
+
+
 def _kept_view(name: str) -> Query:
     """A view of the catalog over the partials of two runs; the second brings late rows of every day."""
 
@@ -372,6 +389,7 @@ QUERIES: dict[str, Query] = {
     "ibi_from_late_beats": _beat_stream,
     "foodlog_append_twice": _twice_appended,
     "ibi_backfilled": _backfilled,
+    "patient_overview_bucketed": _bucketed_overview,
     "demo_stored": _kept_view("demo"),
     "patient_overview_stored": _kept_view("patient_overview"),
     "signal_days": _signal_days,

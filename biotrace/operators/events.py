@@ -61,9 +61,11 @@ def exercise_hr(t: Tables, event_type: str = "Exercise") -> DataFrame:
     The rate is the patient's highest of all days, not of the event date.
     """
     kinds = t.eventtype.where(F.col("event_type") == event_type)
+    # Readings shrink to patient, event and day before they meet the dimension.
+    days = t.dexcom.select("patientid", "eventid", F.to_date("datestamp").alias("event_date")).distinct()
     dates = (
-        t.dexcom.join(kinds, F.col("eventid") == F.col("id"))
-        .select("patientid", "event_type", F.to_date("datestamp").alias("event_date"))
+        days.join(kinds, F.col("eventid") == F.col("id"))
+        .select("patientid", "event_type", "event_date")
         .distinct()
     )
     return dates.join(per_patient(t.hr, max_hr=F.max("max_hr")), "patientid")

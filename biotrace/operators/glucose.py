@@ -37,9 +37,10 @@ def _hours(rows: Column) -> Column:
 def egv_above(t: Tables, above: float = 155, event_type: str = "EGV") -> DataFrame:
     """Patients with a reading of the event type above a level."""
     wanted = t.eventtype.where(F.col("event_type") == event_type)
+    # Pairs of patient and event are few, whatever the event of most readings.
+    high = t.dexcom.where(F.col(GLUCOSE) > above).select("patientid", "eventid").distinct()
     return (
-        t.dexcom.where(F.col(GLUCOSE) > above)
-        .join(wanted.select(F.col("id").alias("eventid")), "eventid", "left_semi")
+        high.join(wanted.select(F.col("id").alias("eventid")), "eventid", "left_semi")
         .select("patientid")
         .distinct()
         .orderBy("patientid")

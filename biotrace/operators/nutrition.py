@@ -221,7 +221,7 @@ def lunch_calories(
 def foods_of_event(t: Tables, event_subtype: str = "Estimated Glucose Value") -> DataFrame:
     """Foods of patients who have an event of the subtype."""
     wanted = t.eventtype.where(F.col("event_subtype") == event_subtype)
-    patients = t.dexcom.select("patientid", "eventid").join(
+    patients = t.dexcom.select("patientid", "eventid").distinct().join(
         wanted.select(F.col("id").alias("eventid")), "eventid", "left_semi"
     )
     eaten = t.foodlog.select("patientid", "logged_food").distinct()

@@ -95,3 +95,12 @@ class Tables:
             return lambda: read_table(spark, f"{root.rstrip('/')}/{name}", name)
 
         return cls(**{name: opener(name) for name in SCHEMAS})
+
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, prefix: str = "") -> Tables:
+        """Tables of the catalog, which keep the buckets they were stored with."""
+
+        def opener(name: str) -> Callable[[], DataFrame]:
+            return lambda: spark.table(f"{prefix}{name}").select(*SCHEMAS[name].names)
+
+        return cls(**{name: opener(name) for name in SCHEMAS})

@@ -22,6 +22,7 @@ EAGER = {
     "foodlog_append_twice",
     "ibi_backfilled",
     "demo_stored",
+    "patient_overview_bucketed",
     "patient_overview_stored",
 }
 
@@ -210,3 +211,60 @@ def test_a_narrow_signal_spreads_over_buckets(spark):
     assert found["0.0"] < found["5.0"]
     assert with_buckets(hard.limit(0), "x").count() == 0
     assert with_buckets(hard.where("x IS NULL"), "x").collect()[0].bucket is None
+
+
+def test_tables_stored_by_patient_meet_without_a_shuffle(spark, stored, tmp_path):
+    from biotrace.schema import Tables
+    from biotrace.sources.sinks import save_bucketed
+
+    save_bucketed(stored[0], 4, "by_patient_", str(tmp_path))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = overview.patient_overview(Tables.from_catalog(spark, "by_patient_"))
+        plan = plan_of(found)
+        assert "Exchange" not in plan
+        assert len(re.findall("SortMergeJoin", plan)) == 4
+        assert sorted(map(repr, found.collect())) == sorted(
+            map(repr, overview.patient_overview(stored[0]).collect())
+        )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in stored[0].names:
+            spark.sql(f"DROP TABLE by_patient_{name}")
+
+
+def test_known_orphans_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from biotrace.plans.membership import rows_found_in, rows_missing_in, with_hit
+    from biotrace.sources.quality import orphan_rows
+
+    # One key holds a third of the children, and has no parent.
+    child = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, -7).when(F.col("id") % 101 == 0, None).otherwise(F.col("id")).alias("k"),
+        (F.col("id") % 2).alias("part"),
+        "id",
+    )
+    parent = spark.range(0, 30_000, 10).select(F.col("id").alias("k"), (F.col("id") % 4).alias("part"))
+    for keys in (["k"], ["k", "part"]):
+        exact = orphan_rows(child, parent, *keys).select("id")
+        for bits in (64, 2**12, 2**17):
+            found = rows_missing_in(child, parent, *keys, bits=bits).select("id")
+            assert sorted(found.collect()) == sorted(exact.collect())
+        semi = child.join(parent, keys, "left_semi").select("id")
+        assert sorted(rows_found_in(child, parent, *keys, bits=2**17).select("id").collect()) == sorted(semi.collect())
+        hits = with_hit(child, parent, *keys, bits=2**17).where("hit").count()
+        assert semi.count() <= hits <= semi.count() + 300
+    assert rows_missing_in(child, parent.limit(0), "k", bits=64).count() == 30_000
+    assert rows_missing_in(child.limit(0), parent, "k", bits=64).count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # The filter stands between the scan of the children and the only shuffle of theirs.
+        plan = plan_of(rows_missing_in(child, parent, "k"))
+        shuffled = plan[plan.index("SortMergeJoin") :].split("Exchange hashpartitioning(k#")[1]
+        assert "Filter" in shuffled.split("Range")[0]
+        assert "getbit" in shuffled.split("Range")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
