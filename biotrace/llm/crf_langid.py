@@ -14,7 +14,6 @@ Every document is then labelled from its whole text, inside Spark's tasks.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +40,8 @@ AT_ONCE = 600_000
 REMEMBERED = 300_000
 
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+# Letters of any script with their marks; number signs such as fractions are none.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 _LABELLED = "doc_id long, lang_pred string, score double"
 

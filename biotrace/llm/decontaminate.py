@@ -1,12 +1,15 @@
 """Benchmark passages in documents, with built-in expressions only.
 
-A window of a document has as many words as a benchmark item. Where a run of five words of
-the item also stands in the document, the two are laid on each other, which gives the place
-of the window; a window elsewhere shares no run with the item, so its similarity is 0.
-Every such window and every item gets a 64-bit SimHash of its word runs. A fingerprint is
-cut into RADIUS + 1 blocks; two fingerprints within the radius agree in one block at least,
-so the join on (words, block, bits) finds them all. Candidates within the radius are
-verified by the exact similarity of their word runs, each weighted by how often it occurs.
+A window of a document has as many words as a benchmark item, and starts at any word. For
+the similarity asked for, most of its word runs must occur in items of that size: how many
+follows from the similarity. Windows with fewer cannot resemble an item and are passed
+over; all others get a 64-bit SimHash of their runs, as every item does. A fingerprint is cut
+into RADIUS + 1 blocks; two fingerprints within the radius agree in one block at least, so
+the join on (words, block, bits) finds them all. Candidates within the radius are verified
+by the exact similarity of their runs, each weighted by how often it occurs. Where and in
+what order the runs stand in the window plays no part.
+
+Windows of equal runs are fingerprinted and verified once, however many documents hold them.
 
 Words are runs of letters and digits of the lower-cased text. An item with fewer than five
 words is one run of all its words, and windows for it come from runs of that many words.
@@ -21,7 +24,9 @@ from biotrace.llm.common import BROADCAST_ROWS, materialize
 
 WORDS = 5
 BITS = 64
-# At similarity 0.8 about 10 of 64 bits differ, with a standard deviation of 3.
+# At similarity 0.8 the cosine of the run weights is 0.89 for equal weights, so a bit differs
+# with probability 0.15: 10 of 64 bits, with a standard deviation of 3. About one pair in
+# 20,000 that stands exactly at 0.8 lies beyond the radius.
 RADIUS = 21
 _SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -95,8 +100,9 @@ def find_contamination(
     start and words give the window in words of the document; shared / total is the
     weighted similarity of the window and the item, at least num / den. One row per
     document and item: the most similar window, the first of equals. Null and empty texts
-    and items match nothing. Rows repeated under one id count as one document. Other
-    columns are not read.
+    and items match nothing. Texts that share an id are all looked at, and the best window
+    of any counts. A document shorter than an item is a window of its own. Other columns are
+    not read.
     """
     items = (
         benchmark.select(
@@ -108,8 +114,10 @@ def find_contamination(
         .withColumn("span", F.least(F.lit(WORDS), F.col("size")))
     )
     spans = [r["span"] for r in items.select("span").distinct().collect()]
+    text = F.col(text_col).cast("string")
+    # Texts that share an id are told apart by their hash.
     docs = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")
     ).where("doc_id IS NOT NULL")
     found = [
         _matches(docs, items.where(F.col("span") == span), span, num, den) for span in sorted(spans)
@@ -137,78 +145,109 @@ def find_contamination(
 _MATCH = "doc_id long, item_id long, start int, words int, shared long, total long"
 
 
+def _starts(size: Column, places: Column, n: Column, span: int, num: int, den: int) -> Column:
+    """Starts of all windows of `size` words that hold enough of the places.
+
+    2 * num / (num + den) of the runs of two sets of equal size are shared at num / den. The
+    k-th next place lies within the window of each such start, which gives the starts as
+    ranges around the places.
+    """
+    runs = size - span + 1
+    own = F.least(n, runs)
+    need = F.greatest(F.lit(1), F.ceil((own + runs) * num / F.lit(num + den)).cast("int"))
+    count = F.size(places)
+
+    def around(i: Column) -> Column:
+        low = F.greatest(F.get(places, i + need - 1) - runs + 1, F.lit(0))
+        high = F.least(F.get(places, i), F.greatest(n - runs, F.lit(0)))
+        none = F.array().cast("array<int>")
+        return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+    first = F.sequence(F.lit(0), count - need)
+    ranges = F.when(count >= need, F.transform(first, around))
+    return F.array_distinct(F.flatten(ranges))
+
+
 def _matches(docs: DataFrame, items: DataFrame, span: int, num: int, den: int) -> DataFrame:
-    runs = items.select("item_id", "size", F.posexplode(runs_of(F.col("words"), span)).alias("offset", "run"))
-    # Places of a run in items of one size: small, as it grows with the benchmark alone.
-    starts = materialize(runs.select("run", "size", "offset").distinct(), "item-runs")
-    small = starts.count() <= BROADCAST_ROWS
+    runs = items.select("item_id", "size", F.explode(runs_of(F.col("words"), span)).alias("run"))
+    # Runs that occur in items of a size: few, as they grow with the benchmark alone.
+    known = materialize(runs.select("run", "size").distinct(), "item-runs")
+    small = known.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda df: df
-    hashed = docs.select("doc_id", runs_of(words_of(F.col("text")), span).alias("runs"))
-    hits = hashed.select("doc_id", F.size("runs").alias("n"), F.posexplode("runs").alias("at", "run"))
-    windows = materialize(
-        hits.join(hint(starts), "run")
-        # A window that would run over either end of the document is moved inside.
-        .withColumn("last", F.greatest(F.lit(0), F.col("n") + span - 1 - F.col("size")))
-        .select(
-            "doc_id",
-            "size",
-            F.least(F.greatest(F.col("at") - F.col("offset"), F.lit(0)), "last").alias("start"),
-        )
-        .distinct(),
-        "windows",
+    hashed = docs.select("doc_id", "key", runs_of(words_of(F.col("text")), span).alias("runs"))
+    hits = hashed.select("doc_id", "key", F.size("runs").alias("n"), F.posexplode("runs").alias("at", "run"))
+    places = (
+        hits.join(hint(known), "run")
+        .groupBy("doc_id", "key", "size")
+        .agg(F.array_sort(F.collect_set("at")).alias("places"), F.max("n").alias("n"))
     )
-    places = windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("places"))
+    starts = _starts(F.col("size"), F.col("places"), F.col("n"), span, num, den)
+    windows = materialize(places.select("doc_id", "key", "size", F.explode(starts).alias("start")), "windows")
+    of_doc = windows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "size")).alias("places"))
     if windows.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    placed = docs.join(places, "doc_id").dropDuplicates(["doc_id"])
-    placed = placed.select("doc_id", "places", runs_of(words_of(F.col("text")), span).alias("runs"))
-    cut = placed.select(
-        "doc_id",
-        F.explode(
-            F.transform(
-                "places",
-                lambda p: F.struct(
-                    p["start"].alias("start"),
-                    p["size"].alias("size"),
-                    F.slice("runs", p["start"] + 1, p["size"] - span + 1).alias("runs"),
-                ),
-            )
-        ).alias("window"),
+        of_doc = F.broadcast(of_doc)
+    placed = docs.join(of_doc, ["doc_id", "key"]).select(
+        "doc_id", "key", "places", runs_of(words_of(F.col("text")), span).alias("runs")
+    )
+    cut = F.transform(
+        "places",
+        lambda p: F.struct(
+            p["start"].alias("start"),
+            p["size"].alias("size"),
+            F.array_sort(F.slice("runs", p["start"] + 1, p["size"] - span + 1)).alias("runs"),
+        ),
+    )
+    # Two hashes of all runs name the content of a window.
+    content = [F.xxhash64(F.lit(n), "window.runs").alias(f"content{n}") for n in (1, 2)]
+    names = ["size", "content1", "content2"]
+    cuts = materialize(
+        placed.select("doc_id", F.explode(cut).alias("window")).select(
+            "doc_id", "window.start", "window.size", *content, "window.runs"
+        ),
+        "window-runs",
     )
     weighted = materialize(
-        cut.select("doc_id", "window.start", "window.size", F.explode("window.runs").alias("run"))
-        .groupBy("doc_id", "start", "size", "run")
+        cuts.groupBy(*names)
+        .agg(F.any_value("runs").alias("runs"))
+        .select(*names, F.explode("runs").alias("run"))
+        .groupBy(*names, "run")
         .agg(F.count(F.lit(1)).alias("weight")),
-        "window-runs",
+        "window-weights",
     )
     item_weights = runs.groupBy("item_id", "size", "run").agg(F.count(F.lit(1)).alias("weight"))
-    keys = ["doc_id", "start", "size"]
-    prints = _fingerprint(weighted, keys)
+    prints = _fingerprint(weighted, names)
     item_prints = _fingerprint(item_weights, ["item_id", "size"])
     block = [F.col("block.block").alias("block"), F.col("block.bits").alias("bits")]
-    left = prints.withColumn("block", F.explode(blocks_of(F.col("print")))).select(*keys, "print", *block)
+    left = prints.withColumn("block", F.explode(blocks_of(F.col("print")))).select(*names, "print", *block)
     right = item_prints.withColumn("block", F.explode(blocks_of(F.col("print")))).select(
         "item_id", "size", F.col("print").alias("item_print"), *block
     )
     near = (
         left.join(hint(right), ["size", "block", "bits"])
         .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-        .select(*keys, "item_id")
+        .select(*names, "item_id")
         .distinct()
     )
-    total = F.col("size") - span + 1
     shared = (
-        near.join(weighted, keys)
+        near.join(weighted, names)
         .join(hint(item_weights.select("item_id", "run", F.col("weight").alias("item_weight"))), ["item_id", "run"])
-        .groupBy(*keys, "item_id")
+        .groupBy(*names, "item_id")
         .agg(F.sum(F.least("weight", "item_weight")).alias("shared"))
     )
     # A document shorter than the item is a window of fewer runs.
-    lengths = weighted.groupBy(*keys).agg(F.sum("weight").alias("own"))
-    return (
-        shared.join(lengths, keys)
-        .withColumn("total", F.col("own") + total - F.col("shared"))
+    lengths = weighted.groupBy(*names).agg(F.sum("weight").alias("own"))
+    alike = materialize(
+        shared.join(lengths, names)
+        .withColumn("total", F.col("own") + F.col("size") - span + 1 - F.col("shared"))
         .where(F.col("shared") * den >= F.col("total") * num)
+        .select(*names, "item_id", "shared", "total"),
+        "alike",
+    )
+    if alike.count() <= BROADCAST_ROWS:
+        alike = F.broadcast(alike)
+    return (
+        cuts.drop("runs")
+        .join(alike, names)
         .select("doc_id", "item_id", "start", F.col("size").alias("words"), "shared", "total")
     )
 

@@ -10,7 +10,6 @@ after any slot with a filter on `slot`, which prunes whole shards and row groups
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -23,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biotrace.llm.common import BROADCAST_ROWS, materialize, shared_dir
+from biotrace.llm.common import BROADCAST_ROWS, materialize
 from biotrace.llm.shingles import mix
 from biotrace.llm.tokens import default_tokenizer, encoder
+from biotrace.session import new_folder
 
 ROUNDS = 6
 # Bytes of a stored id: the vocabulary has fewer than 2**16 entries.
@@ -150,7 +150,7 @@ def materialized_order(docs: DataFrame, **options) -> DataFrame:
     the stored bytes, padding included. Edge cases as in write_shards.
     """
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    path = new_folder(spark, "shards")
     write_shards(docs, path, **options)
     slots = options.get("slots", 8192)
     checked = F.pandas_udf(_sum, T.LongType())

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from biotrace.llm import (
     anchors,
@@ -23,9 +24,9 @@ from biotrace.llm import (
     suffix_dedup,
     token_shards,
 )
-from biotrace.llm.common import shared_dir
 from biotrace.llm.components import components
 from biotrace.llm.tokens import default_tokenizer
+from biotrace.session import new_folder
 
 DOCS = "doc_id long, text string"
 # Further columns with names that the operators use inside.
@@ -298,7 +299,7 @@ def _alnum_runs(text: str | None, size: int = 5) -> list[tuple]:
 
 
 def test_contamination_equals_all_windows(spark):
-    items = [(i, " ".join(words(15 + 6 * i, 500 + i))) for i in range(6)] + [(20, None), (21, ""), (22, "one two")]
+    items = [(i, " ".join(words(15 + 16 * i, 500 + i))) for i in range(6)] + [(20, None), (21, ""), (22, "one two")]
     rows = []
     for i in range(40):
         item = items[i % 6][1].split()
@@ -306,6 +307,12 @@ def test_contamination_equals_all_windows(spark):
             item = item[: len(item) // 2] + ["new"] * (i % 4) + item[len(item) // 2 :]
         if i % 5 == 2:
             item = item[i % 4 :]
+        if i % 7 == 3:
+            # Parts change places, which moves few runs.
+            cut = len(item) // 3 + i % 5
+            item = item[cut:] + item[:cut]
+        if i % 11 == 4:
+            item = item + item[: len(item) // 2] + item
         rows.append((i, " ".join(words(i % 7 * 10, 600 + i) + item + words(20, 700 + i))))
     rows += [(50, items[3][1].upper().replace(" ", " -- ")), (51, None), (52, ""), (53, "one two"), (None, items[0][1])]
     wanted = set()
@@ -324,6 +331,7 @@ def test_contamination_equals_all_windows(spark):
     found = decontaminate.find_contamination(docs, benchmark).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == wanted
     assert len(wanted) > 15
+    assert {(i, i % 6) for i in range(3, 40, 7)} & wanted
     kept = decontaminate.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in wanted}
@@ -331,6 +339,33 @@ def test_contamination_equals_all_windows(spark):
     assert decontaminate.find_contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_a_passage_with_swapped_halves_is_found(spark):
+    first, second, other = words(50, 901), words(50, 902), words(400, 903)
+    benchmark = spark.createDataFrame([(1, " ".join(first + second))], "item_id long, text string")
+    text = " ".join(other[:200] + second + first + other[200:])
+    rows = [(1, text), (1, "another text under the id"), (2, " ".join(other)), (3, text), (3, text)]
+    found = decontaminate.find_contamination(wide(spark, rows), benchmark).collect()
+    assert sorted((r.doc_id, r.start, r.words, r.shared, r.total) for r in found) == [
+        (1, 200, 100, 92, 100),
+        (3, 200, 100, 92, 100),
+    ]
+
+
+def test_fingerprints_of_similar_windows_stay_within_the_radius(spark):
+    """Pairs just above the similarity: the share that the radius loses is below one in 500."""
+    pick = random.Random(77)
+    rows = []
+    for pair in range(1500):
+        shared = [pick.getrandbits(60) for _ in range(160)]
+        for side in range(2):
+            rows += [(pair, side, run) for run in shared + [pick.getrandbits(60) for _ in range(20)]]
+    frame = spark.createDataFrame(rows, "pair long, side int, run long")
+    prints = decontaminate._fingerprint(frame.withColumn("weight", F.lit(1)), ["pair", "side"])
+    by_pair = prints.groupBy("pair").agg(F.min("print").alias("a"), F.max("print").alias("b"))
+    apart = by_pair.select(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("d"))
+    assert apart.where(F.col("d") > decontaminate.RADIUS).count() <= 3
+
+
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     pick = random.Random(2)
     pairs = []
@@ -457,7 +492,7 @@ def test_feistel_is_a_permutation(size):
 
 def test_shards_hold_every_sequence_at_its_slot(spark):
     rows = [*enumerate(TEXTS), (None, "nobody")]
-    path = f"{shared_dir(spark)}/test-shards-{random.getrandbits(60)}"
+    path = new_folder(spark, "test-shards")
     token_shards.write_shards(wide(spark, rows), path, length=64, slots=16, key=9)
     found = token_shards.read_shards(spark, path).collect()
     assert sorted(r["slot"] for r in found) == list(range(len(found)))
