@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import random
+import re
+import time
+
 import numpy as np
 import pytest
 from conftest import TESTDATA
@@ -58,9 +63,100 @@ def test_article_text_without_the_rest(spark):
 def test_host_votes_overrule_a_page():
     short = "<body><main class='story'><p>Brief.</p></main><div class='blurb'><p>{}</p></div></body>"
     page = short.format("A long blurb that is no article. " * 5)
-    own = html_extract.best_of(html_extract.parse(page)[1])
-    assert own.path.endswith("div.blurb")
-    assert html_extract.extract(page, ["body/main.story"]) == "Brief."
+    parsed = html_extract.parse(page)
+    own = html_extract.best_of(parsed, html_extract.kept_blocks(parsed, set()))
+    assert parsed.blocks[parsed.containers[own].first].startswith("A long blurb")
+    story = next(c.path for c in parsed.containers if parsed.blocks[c.first] == "Brief." and c.end == 1)
+    assert html_extract.extract(page, [story]) == "Brief."
+
+
+ARTICLE = "A long article text with many words in it, and some more of them. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content has-sidebar'><p>{}</p></div>",
+        "<main class='no-sidebar'><p>{}</p></main>",
+        "<div id='x'><p>Start</p><section id='related-work'><p>{}</p></section></div>",
+        "<article><section id='ad-hoc-methods'><p>{}</p></section></article>",
+        "<div class='sidebar'><article><p>{}</p></article></div>",
+        "<div class='header-wrapper main'><main><p>{}</p></main></div>",
+    ],
+)
+def test_a_class_word_does_not_cost_the_article(page):
+    assert ARTICLE.strip() in html_extract.extract(page.format(ARTICLE), [])
+
+
+def test_a_layout_word_goes_by_the_votes_of_the_host(spark):
+    """Articles in `side`, comments longer than articles, and a sidebar that is long once."""
+    rows = []
+    for i in range(20):
+        side = "Links of the week. " * (60 if i == 3 else 2)
+        rows.append(
+            (i, "http://a.example/", f"<body><div class='side'><p>Article {i}. {ARTICLE}</p></div>"
+             f"<div class='comments'><p>{'I say so. ' * 200}</p></div></body>")
+        )
+        rows.append(
+            (100 + i, "http://b.example/", f"<body><div class='text'><p>Article {i}. {ARTICLE}</p></div>"
+             f"<div class='sidebar'><p>{side}</p></div></body>")
+        )
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert found == {i: f"Article {i % 100}. {ARTICLE}".strip() for i, _, _ in rows}
+
+
+def _planted_page(pick, n: int) -> tuple[str, str]:
+    """A page put together from parts, and the text that its article part holds."""
+    word = lambda: pick.choice(["alpha", "b&amp;c", "d&lt;", "caf&eacute;", "x&#233;", "end."])
+    say = lambda k: " ".join(word() for _ in range(k))
+    told, body = [], []
+    for _ in range(pick.randint(1, 6)):
+        plain = [say(pick.randint(3, 12)) for _ in range(3)]
+        told.append(" ".join(plain))
+        body.append(pick.choice([
+            f"<p>{plain[0]}\n <b>{plain[1]}</b> <a href='?a=1&b'>{plain[2]}</a></p>",
+            f"<p>{plain[0]}<br>{plain[1]}\t {plain[2]}",
+            f"<h2 title='a > b'>{plain[0]} <i>{plain[1]} {plain[2]}</h2>",
+            f"<blockquote>{plain[0]} {plain[1]} <!-- <p>no</p> --> {plain[2]}</blockquote>",
+        ]))
+        if pick.random() < 0.4:
+            body.append(f"<div class='ad'>{say(4)}</div>")
+        if pick.random() < 0.3:
+            body.append(f"<form><label>{say(3)}</label><input value='x'></form>")
+    noise = [
+        f"<nav><ul><li><a href='/'>{say(2)}</a><li>{say(2)}</ul></nav>",
+        f"<div class='site-header'><p>{say(9)}</p></div>",
+        f"<div id='cookie-notice'>{say(20)}</div>",
+        "<script>if (a < b) { c('</p>') }</script><style>p{}</style>",
+        f"<aside>{say(30)}</aside>",
+    ]
+    pick.shuffle(noise)
+    cut = pick.randint(0, len(noise))
+    article = f"<div class='wrap'><article class='post-{n}'>{''.join(body)}</article></div>"
+    comments = f"<section class='comments'><article class='comment'><p>{say(200)}</p></article></section><footer>{say(5)}</footer>"
+    page = f"<html><head><title>{say(2)}</title></head><body>{''.join(noise[:cut])}{article}{''.join(noise[cut:])}{comments}</body></html>"
+    return page, "\n".join(re.sub(r"\s+", " ", html.unescape(t)).strip() for t in told)
+
+
+def test_pages_give_the_planted_text(spark):
+    pick = random.Random(9)
+    planted = [_planted_page(pick, n) for n in range(120)]
+    rows = [(n, f"http://h{n % 3}.example/{n}", page) for n, (page, _) in enumerate(planted)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert found == {n: text for n, (_, text) in enumerate(planted)}
+
+
+def test_many_hosts_are_joined_without_a_broadcast(spark, monkeypatch):
+    pick = random.Random(10)
+    planted = [_planted_page(pick, n) for n in range(60)]
+    hosts = [0 if n % 3 else n for n in range(60)]
+    rows = [(n, f"http://h{hosts[n]}.example/{n}", page) for n, (page, _) in enumerate(planted)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wanted = sorted(html_extract.extract_pages(pages).collect())
+    monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", 0)
+    assert sorted(html_extract.extract_pages(pages).collect()) == wanted
 
 
 def test_deep_and_broken_pages_end():
@@ -70,6 +166,17 @@ def test_deep_and_broken_pages_end():
     assert html_extract.extract("<a href=\"x" * 2000, []) == ""
 
 
+@pytest.mark.parametrize(
+    "unit",
+    ["<p title=\"x", "<b ", "<div>x", "<ul><b>", "<li></li>", "<dt>x<dd>", "<p><b>x", "</div></p>",
+     "&amp;&", "< <", "<td><p>x", "<!-- x", "<script>x", "<p a='", "<div class=\"a b\">"],
+)
+def test_a_hostile_page_takes_linear_time(unit):
+    began = time.process_time()
+    html_extract.extract(unit * (1_000_000 // len(unit)), [])
+    assert time.process_time() - began < 4
+
+
 # --- conversations -----------------------------------------------------------
 
 
