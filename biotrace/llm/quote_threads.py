@@ -2,11 +2,12 @@
 
 Lines that begin with `>` are quoted; the number of marks is the level. A run of lines of
 one level is a passage. Passages and their lines, normalised (lower case, one blank for
-white space), are hashed and joined to the own passages and lines of all messages. The
-parent of a message is the original of its first passage of level 1 that has one: the last
-earlier turn of its conversation with that passage, else the first message of all with it,
-if that stands in a conversation with a smaller id. Without such a quotation the parent is
-the turn before. Links between conversations join them into threads; within a thread
+white space), are hashed to 128 bits and joined to the own passages and lines of all
+messages. The parent of a message is the original of its first passage of level 1 that has
+one: the last earlier turn of its conversation with that passage, else the first message of
+all with it, if that stands in a conversation with a smaller id. Within a conversation any
+passage or line tells; across conversations one must be long enough to be no chance hit
+(ACROSS_WORDS and ACROSS_CHARS). Without such a quotation the parent is the turn before. Links between conversations join them into threads; within a thread
 messages stand by conversation and turn, so each follows its parent.
 """
 
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from biotrace.llm.common import materialize
 from biotrace.llm.components import components
 
-# Turns of a conversation that are numbered in one group.
+# Turns of a conversation, and ids of conversations, that are numbered in one group.
 TURNS = 1_000
-# Shorter lines are too common to tell where a quotation comes from.
-LEAST_CHARS = 20
+CONVERSATIONS = 1_000
+# A passage links two conversations if it has so many words and characters: shorter ones
+# ("yes", "thank you very much") stand in many unrelated conversations.
+ACROSS_WORDS = 5
+ACROSS_CHARS = 20
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 # The line that announces a quotation, in four languages.
@@ -36,12 +40,18 @@ _ANNOUNCED = re.compile(
 
 _PARSED = (
     "conv_id long, turn long, role string, text string, "
-    "quotes array<struct<level:int,passage:long,lines:array<long>>>, own array<long>"
+    "quotes array<struct<level:int,keys:array<struct<key:binary,far:boolean>>>>, own array<binary>"
 )
+_KEYS = pa.list_(pa.struct([("key", pa.binary()), ("far", pa.bool_())]))
 
 
-def _key(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+def _key(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
+def tells_across(passage: str) -> bool:
+    """Whether a normalised passage may link two conversations."""
+    return len(passage) >= ACROSS_CHARS and len(passage.split()) >= ACROSS_WORDS
 
 
 def _normal(lines: list[str]) -> str:
@@ -70,7 +80,7 @@ def parse(text: str) -> tuple[str, list[tuple[int, str, list[str]]], list[str]]:
                 lines = lines[:-1]
         kept.append("\n".join(lines).strip() if len(runs) > 1 else "\n".join(lines))
     quotes = [
-        (level, _normal(lines), [n for n in (_normal([x]) for x in lines) if len(n) >= LEAST_CHARS])
+        (level, _normal(lines), [n for n in (_normal([x]) for x in lines) if n])
         for level, lines in runs
         if level
     ]
@@ -79,7 +89,7 @@ def parse(text: str) -> tuple[str, list[tuple[int, str, list[str]]], list[str]]:
         if not level:
             own.append(_normal(lines))
             own += [_normal([p]) for p in re.split(r"\n\s*\n", "\n".join(lines))]
-            own += [n for n in (_normal([x]) for x in lines) if len(n) >= LEAST_CHARS]
+            own += [_normal([x]) for x in lines]
     return "\n".join(k for k in kept if k), quotes, sorted({o for o in own if o})
 
 
@@ -90,7 +100,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plain, found, mine = parse(text.as_py() or "")
             texts.append(plain)
             quotes.append(
-                [{"level": l, "passage": _key(p), "lines": [_key(x) for x in lines]} for l, p, lines in found if p]
+                [
+                    {"level": level, "keys": [{"key": _key(x), "far": tells_across(x)} for x in (passage, *lines)]}
+                    for level, passage, lines in found
+                    if passage
+                ]
             )
             own.append([_key(x) for x in mine])
         yield pa.RecordBatch.from_arrays(
@@ -99,9 +113,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(texts, pa.string()),
                 pa.array(
                     quotes,
-                    pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.int64()), ("lines", pa.list_(pa.int64()))])),
+                    pa.list_(pa.struct([("level", pa.int32()), ("keys", _KEYS)])),
                 ),
-                pa.array(own, pa.list_(pa.int64())),
+                pa.array(own, pa.list_(pa.binary())),
             ],
             ["conv_id", "turn", "role", "text", "quotes", "own"],
         )
@@ -127,15 +141,8 @@ def _quoted(parsed: DataFrame) -> DataFrame:
     passages = parsed.where(F.size("quotes") > 0).select(
         "conv_id", "turn", F.posexplode("quotes").alias("at", "quote")
     ).where("quote.level = 1")
-    keys = materialize(
-        passages.select(
-            "conv_id",
-            "turn",
-            "at",
-            F.posexplode(F.concat(F.array("quote.passage"), "quote.lines")).alias("choice", "key"),
-        ),
-        "quoted",
-    )
+    keys = passages.select("conv_id", "turn", "at", F.posexplode("quote.keys").alias("choice", "tells"))
+    keys = materialize(keys.select("conv_id", "turn", "at", "choice", "tells.key", "tells.far"), "quoted")
     # One row per key and turn, and only keys that anyone quotes.
     sought = keys.select("key").distinct()
     originals = (
@@ -147,14 +154,23 @@ def _quoted(parsed: DataFrame) -> DataFrame:
         F.min(F.struct(F.col("conv_id").alias("conv"), F.col("turn").alias("turn"))).alias("first")
     )
     asked = keys.select("conv_id", "turn", "key").distinct()
-    both = originals.withColumn("original", F.lit(True)).unionByName(
-        asked.withColumn("original", F.lit(False))
+    both = (
+        originals.withColumn("original", F.lit(True))
+        .unionByName(asked.withColumn("original", F.lit(False)))
+        .withColumn("span", F.floor(F.col("turn") / TURNS))
     )
-    earlier = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    # The last original before a turn: in its own span of turns, else in an earlier one.
+    group = ["conv_id", "key"]
+    original = F.max(F.when(F.col("original"), F.col("turn")))
+    earlier = Window.partitionBy(*group, "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    spans = both.groupBy(*group, "span").agg(original.alias("top"))
+    ahead = Window.partitionBy(*group).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    far = spans.select(*group, "span", F.max("top").over(ahead).alias("far_turn"))
     inside = (
-        both.withColumn("near", F.max(F.when(F.col("original"), F.col("turn"))).over(earlier))
+        both.withColumn("near", original.over(earlier))
         .where(~F.col("original"))
-        .select("conv_id", "turn", "key", "near")
+        .join(far, [*group, "span"])
+        .select(*group, "turn", F.coalesce("near", "far_turn").alias("near"))
     )
     found = (
         keys.join(inside, ["conv_id", "turn", "key"])
@@ -165,7 +181,7 @@ def _quoted(parsed: DataFrame) -> DataFrame:
             "at",
             "choice",
             F.when(F.col("near").isNotNull(), F.col("conv_id"))
-            .when(F.col("first.conv") < F.col("conv_id"), F.col("first.conv"))
+            .when(F.col("far") & (F.col("first.conv") < F.col("conv_id")), F.col("first.conv"))
             .alias("from_conv"),
             F.coalesce("near", "first.turn").alias("from_turn"),
         )
@@ -213,8 +229,17 @@ def reply_threads(messages: DataFrame) -> DataFrame:
     group = ["thread_id", "conv_id", "span"]
     by_group = Window.partitionBy(*group).orderBy("turn", "role", "text")
     sizes = full.where("thread_id IS NOT NULL").groupBy(*group).count()
-    ordered = Window.partitionBy("thread_id").orderBy("conv_id", "span")
-    before = sizes.select(*group, (F.sum("count").over(ordered) - F.col("count")).alias("ahead"))
+    # A thread may hold very many conversations: they are counted a range of ids at a time.
+    sizes = sizes.withColumn("range", F.floor(F.col("conv_id") / CONVERSATIONS))
+    ranges = sizes.groupBy("thread_id", "range").agg(F.sum("count").alias("count"))
+    ordered = Window.partitionBy("thread_id").orderBy("range")
+    starts = ranges.select("thread_id", "range", (F.sum("count").over(ordered) - F.col("count")).alias("start"))
+    within = Window.partitionBy("thread_id", "range").orderBy("conv_id", "span")
+    before = (
+        sizes.withColumn("inside", F.sum("count").over(within) - F.col("count"))
+        .join(starts, ["thread_id", "range"])
+        .select(*group, (F.col("start") + F.col("inside")).alias("ahead"))
+    )
     return (
         full.withColumn("local", F.row_number().over(by_group))
         .join(before, group, "left")

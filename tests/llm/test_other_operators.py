@@ -212,6 +212,82 @@ def test_quotations_are_linked_and_cut(spark):
     assert quote_threads.reply_threads(messages.limit(0)).count() == 0
 
 
+def plain_threads(rows) -> dict[tuple, tuple]:
+    """(thread, parent) of every turn, by looking through all messages for each quotation."""
+    turns = sorted({(c, t) for c, t, _, _ in rows})
+    parsed = [(c, t, *quote_threads.parse(text or "")[1:]) for c, t, _, text in rows]
+    told = {(c, t, x) for c, t, _, own in parsed for x in own}
+    parents = {}
+    for c, t in turns:
+        options = []
+        for c2, t2, quotes, _ in parsed:
+            if (c2, t2) != (c, t):
+                continue
+            for at, (level, passage, lines) in enumerate([q for q in quotes if q[1]]):
+                if level != 1:
+                    continue
+                for choice, key in enumerate([passage, *lines]):
+                    near = [b for a, b, x in told if a == c and b < t and x == key]
+                    first = min(((a, b) for a, b, x in told if x == key), default=None)
+                    if near:
+                        options.append((at, choice, c, max(near)))
+                    elif first and first[0] < c and len(key) >= 20 and len(key.split()) >= 5:
+                        options.append((at, choice, *first))
+        before = max((b for a, b in turns if a == c and b < t), default=None)
+        parents[c, t] = min(options)[2:] if options else (c, before) if before is not None else None
+    thread = {c: c for c, _ in turns}
+    changed = True
+    while changed:
+        changed = False
+        for (c, _), parent in parents.items():
+            if parent:
+                low = min(thread[c], thread[parent[0]])
+                changed |= thread[c] != low or thread[parent[0]] != low
+                thread[c] = thread[parent[0]] = low
+    return {(c, t): (thread[c], parents[c, t]) for c, t in turns}
+
+
+def test_threads_equal_a_search_through_all_messages(spark, monkeypatch):
+    monkeypatch.setattr(quote_threads, "TURNS", 3)
+    monkeypatch.setattr(quote_threads, "CONVERSATIONS", 4)
+    pick = random.Random(21)
+    said = ["yes", "no", "thank you very much", "a", "supercalifragilisticexpialidocious"]
+    said += [f"this is the long remark number {i} of all" for i in range(25)]
+    rows, told = [], []
+    for c in range(40):
+        for t in pick.sample(range(9), pick.randint(1, 7)):
+            lines = []
+            for _ in range(pick.randint(1, 3)):
+                if told and pick.random() < 0.5:
+                    for text in pick.choice(told).split("\n")[: pick.randint(1, 2)]:
+                        lines.append("> " * pick.randint(1, 2) + text.upper())
+                lines.append(pick.choice(said))
+            rows.append((c, t, "user", "\n".join(lines)))
+            told.append("\n".join(x for x in lines if not x.startswith(">")))
+    # One turn that all conversations share, and conversations without a link of their own.
+    rows += [(c, 50, "user", "the very same closing words in all of them") for c in range(60)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = quote_threads.reply_threads(messages).collect()
+    wanted = plain_threads(rows)
+    got = {(r.conv_id, r.turn): (r.thread_id, (r.parent_conv_id, r.parent_turn) if r.parent_turn is not None else None) for r in found}
+    assert got == wanted
+    assert sum(1 for c, t in wanted if wanted[c, t][1] and wanted[c, t][1][0] != c) > 10
+    ordered = sorted(found, key=lambda r: (r.thread_id, r.position))
+    assert [(r.thread_id, r.conv_id, r.turn) for r in ordered] == sorted((wanted[c, t][0], c, t) for c, t, _, _ in rows)
+    for thread in {r.thread_id for r in found}:
+        places = [r.position for r in ordered if r.thread_id == thread]
+        assert places == list(range(1, len(places) + 1))
+
+
+def test_short_quotations_link_within_a_conversation_only(spark):
+    rows = [(1, 0, "user", "yes"), (2, 0, "user", "something else entirely"), (9, 0, "user", "yes"),
+            (9, 1, "user", "no"), (9, 2, "user", "> yes\nwhy?"), (12, 0, "user", "> yes\nagain")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r.conv_id, r.turn): (r.thread_id, r.parent_conv_id, r.parent_turn) for r in quote_threads.reply_threads(messages).collect()}
+    assert found[9, 2] == (9, 9, 0)
+    assert found[12, 0] == (12, None, None)
+
+
 def test_every_message_follows_its_parent(spark):
     conversations = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
     rows = quote_threads.reply_threads(conversations).collect()
