@@ -507,3 +507,56 @@ def test_shards_hold_every_sequence_at_its_slot(spark):
     rest = token_shards.read_shards(spark, path, after=20)
     assert sorted(r["slot"] for r in rest.collect()) == list(range(21, len(found)))
     assert token_shards.materialized_order(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_slots_do_not_depend_on_how_rows_are_dealt(spark):
+    rows = [*enumerate(TEXTS * 4), (3, "another text"), (3, TEXTS[0]), (3, TEXTS[0]), (None, "nobody")]
+    found = []
+    for parts in (1, 5):
+        path = new_folder(spark, "test-shards")
+        docs = wide(spark, rows).repartition(parts, F.rand(parts))
+        token_shards.write_shards(docs, path, length=32, slots=16, key=9)
+        found.append(sorted(map(repr, token_shards.read_shards(spark, path).drop("shard").collect())))
+    assert found[0] == found[1]
+
+
+def test_a_resumed_read_opens_later_shards_only(spark):
+    path = new_folder(spark, "test-shards")
+    token_shards.write_shards(wide(spark, [*enumerate(TEXTS * 4)]), path, length=32, slots=16, key=9)
+    total = token_shards.read_shards(spark, path).count()
+    assert total > 64
+    for after in (0, 15, 16, 40):
+        rest = token_shards.read_shards(spark, path, after=after)
+        assert sorted(r.slot for r in rest.select("slot").collect()) == list(range(after + 1, total))
+        plan = rest._jdf.queryExecution().executedPlan().toString()
+        assert "(shard#" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+        assert rest.select(F.min("shard")).first()[0] == (after + 1) // 16
+
+
+def test_binary_shards_are_read_by_byte(spark):
+    docs = wide(spark, [*enumerate(TEXTS * 4)])
+    plain, raw = new_folder(spark, "test-shards"), new_folder(spark, "test-shards")
+    options = dict(length=32, slots=16, key=9, pad_id=0x0A41)
+    token_shards.write_shards(docs, plain, **options)
+    token_shards.write_shards(docs, raw, binary=True, **options)
+    stride = 2 * 32 + 1
+    wanted = {r.slot: bytes(r.ids) for r in token_shards.read_shards(spark, plain).collect()}
+    files = {}
+    for row in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(raw).select("path").collect():
+        if "/shard=" in row.path:
+            files[int(re.search(r"/shard=(\d+)/", row.path)[1])] = row.path.removeprefix("file:")
+    assert sorted(files) == sorted({slot // 16 for slot in wanted})
+    for slot in sorted(wanted):
+        with open(files[slot // 16], "rb") as shard:
+            shard.seek(slot % 16 * stride)
+            assert shard.read(stride) == wanted[slot] + b"\n"
+
+
+def test_an_id_that_does_not_fit_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(token_shards, "MOST_ID", 10)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1]), pa.array([2]), pa.array(["some words"])], ["doc_id", "tie", "text"]
+    )
+    monkeypatch.setattr(token_shards.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    with pytest.raises(ValueError, match="does not fit"):
+        list(token_shards._cut(iter([batch]), 8, 1, default_tokenizer()))
