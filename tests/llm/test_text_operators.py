@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -279,6 +280,52 @@ def test_checksums_and_context_decide(spark):
     assert spans == ["iban:7:29", "", "local_phone:12:24", ""]
 
 
+def test_context_on_either_side_counts(spark):
+    rows = [
+        "call 212-555-1234 or 212-555-9876",
+        "212-555-1234 (fax)",
+        "account DE89 3704 0044 0532 0130 00 please",
+        "de89370400440532013000",
+        "BE71 0961 2345 6769 and more",
+        "GB83 WEST 1234 5698 7654 32",
+        "server 10.0.0.1 here",
+        "version 10.0.0.1 here",
+        "call order 212-555-1234",
+        "called 212-555-1234",
+    ]
+    report = pii.personal_data_report(spark.createDataFrame(list(enumerate(rows)), DOCS)).orderBy("doc_id").collect()
+    assert [r["spans"] for r in report] == [
+        "local_phone:5:17,local_phone:21:33",
+        "local_phone:0:12",
+        "iban:8:35",
+        "iban:0:22",
+        "iban:0:19",
+        "",
+        "ip:7:15",
+        "ip:8:16",
+        "",
+        "",
+    ]
+    assert [r["scores"] for r in report] == ["0.7,0.7", "0.7", "1.0", "0.8", "0.8", "", "1.0", "0.4", "", ""]
+
+
+def test_very_many_spans_take_linear_time(spark):
+    unit = "ü mail a{0}@b.example or +49 30 123456{1} "
+    text = "".join(unit.format(i, i % 90 + 10) for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 300_000 + " a@b.cd " + "1" * 300_000)], DOCS)
+    docs.select("doc_id").collect()
+    began = time.monotonic()
+    found = {r.doc_id: r for r in pii.personal_data_report(docs).collect()}
+    assert time.monotonic() - began < 10
+    assert found[1].n_email == found[1].n_phone == 20_000
+    assert found[1].base_sha256 == hashlib.sha256(",".join(plain_base(text)).encode()).hexdigest()
+    began = time.monotonic()
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert time.monotonic() - began < 15
+    assert masked[1] == "ü mail [EMAIL] or [PHONE] " * 20_000
+    assert masked[2] == "x" * 300_000 + " [EMAIL] " + "1" * 300_000
+
+
 def test_masking_covers_every_span_and_keeps_the_rest(spark):
     rows = [*enumerate(PRIVATE[:5]), (7, None), (8, "nothing here")]
     masked = pii.mask(wide(spark, rows))
