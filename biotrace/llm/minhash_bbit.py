@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biotrace.llm.common import grouped, materialize
+from biotrace.llm.common import BROADCAST_ROWS, grouped, materialize
 from biotrace.llm.components import components
 from biotrace.llm.shingles import mix, shingle_sets
 
@@ -194,9 +194,15 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("leader").agg(
         F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")
     )
-    sizes = sizes.where("size > 1 AND low < high").select(
-        "leader", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+    sizes = materialize(
+        sizes.where("size > 1 AND low < high").select(
+            "leader", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+        ),
+        "split-leaders",
     )
+    # A leader may have very many members: they are not brought together to be split.
+    if sizes.count() <= BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
     placed = members.join(sizes, "leader").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     )
