@@ -9,7 +9,11 @@ least similarity, in random directions, and the bound must reach the cell of all
 share of 1 - RECALL of them. More similar pairs lie in nearer cells. Pairs found are
 verified by cosine in double precision.
 
-Equal vectors take part once and are counted. A cell is cut into bounded blocks, and the
+The codebooks grow with the square root of the vectors, so that cells keep their size.
+Neighbouring cells of the first half that hold few vectors are bundled: a vector travels
+once to each bundle it visits a cell of, and is compared with all of the bundle.
+
+Equal vectors take part once and are counted. A bundle is cut into bounded blocks, and the
 visitors of a block are compared with it in bounded batches.
 """
 
@@ -27,11 +31,13 @@ from pyspark.sql import functions as F
 from biotrace.llm.common import grouped, materialize
 from biotrace.llm.components import components
 
-# Centroids per half, vectors the codebooks are fitted on, and rounds of k-means.
-CENTROIDS = 32
+# Least and most centroids per half, vectors a cell should hold, vectors the codebooks are
+# fitted on, and rounds of k-means.
+CENTROIDS = 8, 512
+CELL = 64
 SAMPLE = 8_192
 ROUNDS = 12
-# Vectors of a cell in one block, and visitors compared with it at a time.
+# Vectors of a bundle in one block, and visitors compared with it at a time.
 BLOCK = 2_048
 BATCH = 2_048
 # Share of pairs at the least similarity that a query finds, and turns of a sampled vector.
@@ -126,10 +132,38 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "unit"])
 
 
+def _homes(batches: Iterator[pa.RecordBatch], books: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The cell of every vector."""
+    half = books[0].shape[1]
+    for batch in batches:
+        cells = np.zeros(0, np.int64)
+        if batch.num_rows:
+            points = _matrix(batch.column(0))
+            cells = nearest(points[:, :half], books[0]) * len(books[1]) + nearest(points[:, half:], books[1])
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64))], ["cell"])
+
+
+def bundles_of(counts: np.ndarray) -> np.ndarray:
+    """Bundle of every cell: runs of cells of one row of the grid with up to BLOCK vectors."""
+    bundles, number = np.zeros(counts.shape, np.int32), 0
+    for row, held in enumerate(counts):
+        filled = 0
+        for column, count in enumerate(held.tolist()):
+            if column and filled + count > BLOCK:
+                number, filled = number + 1, 0
+            bundles[row, column] = number
+            filled += count
+        number += 1
+    return bundles
+
+
 def _visit(
-    batches: Iterator[pa.RecordBatch], books: tuple[np.ndarray, np.ndarray], limit: float
+    batches: Iterator[pa.RecordBatch],
+    books: tuple[np.ndarray, np.ndarray],
+    limit: float,
+    bundles: np.ndarray,
 ) -> Iterator[pa.RecordBatch]:
-    """A row per vector and visited cell; `home` marks the vector's own cell."""
+    """A row per vector and bundle with a visited cell; `home` marks the vector's own."""
     half = books[0].shape[1]
     for batch in batches:
         if not batch.num_rows:
@@ -138,15 +172,21 @@ def _visit(
         sides = [points[:, :half], points[:, half:]]
         low = [bounds(p, c) for p, c in zip(sides, books, strict=True)]
         own = [nearest(p, c) for p, c in zip(sides, books, strict=True)]
-        take, cells, home = [], [], []
+        take, visited, home = [], [], []
         for i in range(len(points)):
-            for a, b in traverse(low[0][i], low[1][i], limit):
-                take.append(i)
-                cells.append(a * len(books[1]) + b)
-                home.append(a == own[0][i] and b == own[1][i])
+            at = bundles[own[0][i], own[1][i]]
+            cells = traverse(low[0][i], low[1][i], limit)
+            found = {at, *(bundles[a, b] for a, b in cells)}
+            take += [i] * len(found)
+            visited += found
+            home += [bundle == at for bundle in found]
         rows = pa.array(take, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), pa.array(cells, pa.int64()), pa.array(home, pa.bool_())],
+            [
+                batch.column(0).take(rows),
+                pa.array(np.array(visited, np.int64)),
+                pa.array(np.array(home, bool)),
+            ],
             ["rep", "cell", "home"],
         )
 
@@ -261,8 +301,16 @@ def near_vectors(
 def _linked(reps: DataFrame, least: float) -> DataFrame:
     points = _sample(reps)
     half = points.shape[1] // 2
-    books = tuple(kmeans(p, CENTROIDS) for p in (points[:, :half], points[:, half:]))
-    visit = partial(_visit, books=books, limit=reach(points, books, least))
+    fewest, most = CENTROIDS
+    size = min(most, max(fewest, int(np.sqrt(reps.count() / CELL))))
+    books = tuple(kmeans(p, size) for p in (points[:, :half], points[:, half:]))
+    # One row per cell of the grid: bounded by the codebooks.
+    homes = reps.select("unit").mapInArrow(partial(_homes, books=books), "cell long").groupBy("cell").count()
+    counts = np.zeros(len(books[0]) * len(books[1]), np.int64)
+    for row in homes.collect():
+        counts[row["cell"]] = row["count"]
+    bundles = bundles_of(counts.reshape(len(books[0]), len(books[1])))
+    visit = partial(_visit, books=books, limit=reach(points, books, least), bundles=bundles)
     row = "rep long, cell long, home boolean"
     visits = materialize(reps.select("rep", "unit").mapInArrow(visit, row), "visits")
     cells = visits.groupBy("cell").agg(
