@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -59,6 +62,25 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the folder of this run, or else below the shared folder."""
+    return f"{_RUN.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Put the intermediate tables of what runs inside into one folder, and remove it at the end.
+
+    Results must be stored or collected inside, as they read these tables.
+    """
+    root = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(root)
+    try:
+        yield root
+    finally:
+        _RUN.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

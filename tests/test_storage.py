@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import date, datetime
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from conftest import TESTDATA, rows_of
 
+from biotrace import session
 from biotrace.functions.sql_functions import register_sql_functions
 from biotrace.operators import overview
 from biotrace.schema import PATIENT_BIOMETRICS, SCHEMAS, Tables
@@ -215,3 +217,23 @@ def test_a_stream_that_keeps_running(spark, make_tables, tmp_path):
     finally:
         query.stop()
     assert spark.read.parquet(f"{folder}/alerts").count() == 2
+
+
+def test_a_run_removes_its_intermediate_tables(spark):
+    from pathlib import Path
+
+    with session.run_folder(spark) as root:
+        folder = session.new_folder(spark, "part")
+        assert folder.startswith(root)
+        spark.range(3).write.parquet(folder)
+        assert spark.read.parquet(folder).count() == 3
+    assert not Path(root.removeprefix("file:")).exists()
+    assert not session.new_folder(spark, "part").startswith(root)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:1")
+    )
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        session.shared_folder(cluster)
