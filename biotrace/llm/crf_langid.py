@@ -14,6 +14,9 @@ Every document is then labelled from its whole text, inside Spark's tasks.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +24,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,11 @@ AT_ONCE = 600_000
 REMEMBERED = 300_000
 
 UNKNOWN = "und"
-# Letters of any script with their marks; number signs such as fractions are none.
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+# Signs that count as word characters but are numbers, such as fractions and raised digits.
+_NUMBERS = "".join(
+    c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")
+)
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 _LABELLED = "doc_id long, lang_pred string, score double"
 

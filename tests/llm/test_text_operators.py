@@ -337,6 +337,11 @@ def test_masking_covers_every_span_and_keeps_the_rest(spark):
     assert not any(plain_base(t) for t in texts.values())
 
 
+def test_number_signs_are_no_letters():
+    assert crf_langid.words_of("\u00bd \u00b2 \u2167 3") == []
+    assert crf_langid.words_of("x\u00b2 \u00c9t\u00e9 a1b \u4e2d") == ["x", "\u00e9t\u00e9", "a", "b", "\u4e2d"]
+
+
 # --- decontamination ---------------------------------------------------------
 
 
