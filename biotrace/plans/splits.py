@@ -12,11 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Buckets are a power of two, so that a search halves them.
-LEVELS = 10
+# Buckets are a power of two, so that a search halves them: a few for each shuffle partition,
+# from 64 to 4,096.
+LEVELS = 6, 12
 
 
-def with_buckets(df: DataFrame, value: str, width: float | None = None, levels: int = LEVELS) -> DataFrame:
+def _levels(df: DataFrame) -> int:
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fewest, most = LEVELS
+    return min(most, max(fewest, (4 * partitions).bit_length()))
+
+
+def with_buckets(
+    df: DataFrame, value: str, width: float | None = None, levels: int | None = None
+) -> DataFrame:
     """Add ``bucket``, which never falls as the value grows; NULL for a NULL value.
 
     With a ``width`` the buckets are that wide; else there are up to ``2 ** levels`` of about
@@ -24,6 +33,7 @@ def with_buckets(df: DataFrame, value: str, width: float | None = None, levels:
     """
     if width is not None:
         return df.withColumn("bucket", F.floor(F.col(value) / width))
+    levels = levels or _levels(df)
     parts = 2**levels
     shares = [k / parts for k in range(1, parts)]
     summed = F.col(value)
