@@ -15,8 +15,6 @@ Every document is then labelled from its whole text, inside Spark's tasks.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,17 +40,18 @@ AT_ONCE = 600_000
 REMEMBERED = 300_000
 
 UNKNOWN = "und"
-# Signs that count as word characters but are numbers, such as fractions and raised digits.
-_NUMBERS = "".join(
-    c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")
-)
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+# Word characters but decimal digits; numbers among them, such as fractions, are cut out.
+_WORD = re.compile(r"[^\W\d_]+")
 
 _LABELLED = "doc_id long, lang_pred string, score double"
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    words = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    apart = ("".join(c if c.isalpha() else " " for c in word).split() for word in words)
+    return [part for parts in apart for part in parts]
 
 
 def features(word: str) -> list[int]:
