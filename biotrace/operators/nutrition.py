@@ -18,7 +18,8 @@ from biotrace.functions.exprs import (
     title_case,
     word_match,
 )
-from biotrace.plans.keys import ordered_by, top_one, with_key_in
+from biotrace.plans.keys import ordered_by, top_one, with_hot_key_in, with_key_in
+from biotrace.plans.membership import with_hit
 from biotrace.plans.reuse import shareable
 from biotrace.schema import AsOf, Tables
 
@@ -221,11 +222,16 @@ def lunch_calories(
 def foods_of_event(t: Tables, event_subtype: str = "Estimated Glucose Value") -> DataFrame:
     """Foods of patients who have an event of the subtype."""
     wanted = t.eventtype.where(F.col("event_subtype") == event_subtype)
-    patients = t.dexcom.select("patientid", "eventid").distinct().join(
-        wanted.select(F.col("id").alias("eventid")), "eventid", "left_semi"
-    )
-    eaten = t.foodlog.select("patientid", "logged_food").distinct()
-    return with_key_in(eaten, patients, "patientid").select("logged_food").distinct()
+    kinds = t.dexcom.select("patientid", "eventid").distinct()
+    # Events are few, so their readings are spread by patient.
+    wanted = wanted.select(F.col("id").alias("eventid"))
+    patients = with_hot_key_in(kinds, wanted, "eventid", "patientid")
+    # Pairs of patient and food may be nearly as many as meals, so making them distinct would
+    # hold the whole log. Meals of other patients go where they are read; the others meet the
+    # patients as they are, those of one patient spread by their food.
+    eaten = with_hit(t.foodlog.select("patientid", "logged_food"), patients, "patientid")
+    found = with_hot_key_in(eaten.where("hit"), patients, "patientid", "logged_food")
+    return found.select("logged_food").distinct()
 
 
 def daily_calories(t: Tables, ordered: bool = True) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Parts over which the rows of one key are spread.
+PARTS = 16
+
 
 def with_key_in(df: DataFrame, other: DataFrame, *on: str) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``other``.
@@ -15,6 +18,21 @@ def with_key_in(df: DataFrame, other: DataFrame, *on: str) -> DataFrame:
     return df.join(other.select(*on).distinct(), list(on), "left_semi")
 
 
+def with_hot_key_in(df: DataFrame, other: DataFrame, on: str, *spread: str) -> DataFrame:
+    """The same where a single key of ``df`` may hold many of its rows.
+
+    Rows are dealt out by the key and a part that follows from the ``spread`` columns; each
+    distinct key goes to all parts. Neither all rows of a hot key meet in one task, nor are
+    its distinct rows kept to shrink them.
+    """
+    part = F.pmod(F.xxhash64(*spread), F.lit(PARTS))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+    keys = other.select(on).distinct().select(on, parts.alias("_part"))
+    # Sorted: estimates miss that the keys are multiplied, and a task would hold all of them.
+    dealt = df.withColumn("_part", part).join(keys.hint("merge"), [on, "_part"], "left_semi")
+    return dealt.select(*df.columns)
+
+
 def with_key_missing_in(df: DataFrame, other: DataFrame, *on: str) -> DataFrame:
     return df.join(other.select(*on).distinct(), list(on), "left_anti")
 

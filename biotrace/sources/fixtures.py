@@ -93,6 +93,10 @@ def foodlog(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFram
     # floor(x + 0.5) rounds amounts, which are never negative, without leaving doubles.
     cents = F.floor(F.col("l_extendedprice") + 0.5).cast("decimal(12,0)")
     fiber = F.floor(F.col("l_tax") * 100 + 0.5)
+    # A number of partitions that is asked for stays. Else the join, where it sorts the lines,
+    # is merged into about one task per core, which then holds more the more lines there are.
+    partitions = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    orders = orders.repartition(partitions, "o_orderkey")
     return (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))

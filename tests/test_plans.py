@@ -126,6 +126,26 @@ def test_per_patient_joins_need_no_shuffle_of_their_own(spark, stored):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_foods_of_an_event_hold_no_pairs(stored):
+    """Only names are made distinct, and a patient's meals are dealt out by more than the patient."""
+    plan = plan_of(nutrition.foods_of_event(stored[0]))
+    held = [keys for keys in re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan) if "logged_food" in keys]
+    assert held and not any("patientid" in keys for keys in held)
+    assert re.search(r"SortMergeJoin \[patientid#\d+L, _part#\d+L\]", plan)
+
+
+def test_sorted_meals_keep_their_partitions(spark):
+    """The join of lines and orders runs in as many tasks as are set, however few bytes it reads."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(fixture_tables(spark, SF_DIR).foodlog.select("patientid", "datetime"))
+        assert "Exchange hashpartitioning(o_orderkey" in plan
+        assert "REPARTITION_BY_NUM" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_top_one_does_not_sort_everything(stored):
     plan = plan_of(glucose.out_of_range_top(stored[0]))
     assert "TakeOrderedAndProject" in plan

@@ -10,6 +10,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from biotrace.operators import cardio, demographics, events, nutrition, overview, series
+from biotrace.plans.keys import with_hot_key_in
 
 DAY0 = date(2024, 1, 1)
 AS_OF = "2024-02-01"
@@ -279,3 +280,26 @@ def test_birthday_week_uses_iso_weeks(make_tables):
         ibi=[(1, datetime(2021, 1, 2), 0.1, 800.0)],
     )
     assert rows_of(overview.birthday_week(t)) == [(1, 53, 53)]
+
+
+def test_foods_of_event_with_odd_rows(make_tables):
+    at = datetime(2024, 1, 1, 12)
+    eaten = [(1, "Egg"), (1, "Egg"), (1, None), (2, "Rice"), (3, "Pear"), (None, "Fig"), (4, "Nut")]
+    egv = (1, "EGV", "Estimated Glucose Value")
+    t = make_tables(
+        eventtype=[egv, egv, (2, "Exercise", "Walk")],
+        dexcom=[(p, at, e, 100.0) for p, e in [(1, 1), (1, 1), (2, 2), (None, 1), (3, None)]],
+        foodlog=[food(patient, "2024-01-01 12:00", name) for patient, name in eaten],
+    )
+    assert rows_of(nutrition.foods_of_event(t)) == [("Egg",), (None,)]
+    assert rows_of(nutrition.foods_of_event(t, "Walk")) == [("Rice",)]
+    assert rows_of(nutrition.foods_of_event(t, "Low")) == []
+
+
+def test_rows_of_a_hot_key_are_kept(spark):
+    key = F.when(F.col("id") % 4 > 0, 7).otherwise(F.col("id")).alias("key")
+    rows = spark.range(4000).select(key, F.col("id").alias("value"))
+    keys = spark.createDataFrame([(7,), (7,), (8,), (None,)], "key long")
+    found = with_hot_key_in(rows, keys, "key", "value")
+    assert found.columns == ["key", "value"]
+    assert rows_of(found) == rows_of(rows.where("key IN (7, 8)"))
